@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import discard, materialise, scratch_path  # noqa: F401
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`; equal to what bytes.split() splits at.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,41 +36,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or, where that is
-    unset (a local session, as in tests), a temporary folder that becomes the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="termloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/termloom/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to shared scratch and read back: lineage ends here and survives lost executors."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes the scratch tables behind frames that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_scratch", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 # --- hashing of words in numpy -------------------------------------------------------------------
 
 _IS_WORD = np.ones(256, np.bool_)
@@ -132,7 +95,7 @@ def hash_words(texts: list) -> tuple:
     return h, np.searchsorted(start, bounds), start, end, joined
 
 
-def slices(batch, column: str = "text", most_bytes: int = 4 << 20):
+def slices(batch, column: str = "text", most_bytes: int = 1 << 19):
     """(row offset, encoded texts) of parts of an Arrow batch of bounded size; null texts count as empty."""
     texts, size, at = [], 0, 0
     for i, t in enumerate(batch.column(column)):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mix, pii, quality
+from . import licences, lsa, mix, near, phrases, pii, quality
 
 QUERIES = {
+    "op1_substring_dedup": phrases.op1_substring_dedup,
     "op2_quality": quality.op2_quality,
+    "op3_decontaminate": lsa.op3_decontaminate,
+    "op6_near_dedup": near.op6_near_dedup,
+    "op7_licence_scan": licences.op7_licence_scan,
     "op8_mix_sources": mix.op8_mix_sources,
     "op9_pii": pii.op9_pii,
 }
-ORACLE = {"op8_mix_sources": mix.ORACLE}
+ORACLE = {"op1_substring_dedup": phrases.ORACLE, "op6_near_dedup": near.ORACLE, "op8_mix_sources": mix.ORACLE}
