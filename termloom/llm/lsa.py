@@ -105,15 +105,9 @@ def _through(matrix_bc, idf):
     return run
 
 
-class Space:
-    """idf, basis (vocabulary x dimensions, idf included) of the latent space."""
-
-    def __init__(self, idf: np.ndarray, basis: np.ndarray):
-        self.idf, self.basis = idf, basis
-
-
-def fit(docs: DataFrame, items: list, vocabulary=VOCABULARY, dimensions=DIMENSIONS, block=BLOCK, sample=SAMPLE_BLOCKS, rounds=2, seed=7) -> Space:
-    """Document frequencies of all blocks, and the randomised SVD of the benchmark's passages with a sample."""
+def fit(docs: DataFrame, items: list, vocabulary=VOCABULARY, dimensions=DIMENSIONS, block=BLOCK, sample=SAMPLE_BLOCKS, rounds=2, seed=7) -> tuple:
+    """(idf, basis with idf in it) of the latent space: document frequencies of all blocks, and the
+    randomised SVD of the benchmark's passages with a sample of blocks."""
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(_frequencies(vocabulary, block), "bucket long, n long")
     got = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most vocabulary + 1 rows
@@ -142,7 +136,7 @@ def fit(docs: DataFrame, items: list, vocabulary=VOCABULARY, dimensions=DIMENSIO
         q, _ = np.linalg.qr(y)
         q = q.astype(np.float32)
         bc.unpersist()
-    return Space(idf, q * idf[:, None])
+    return idf, q * idf[:, None]
 
 
 def passages(item_id, text: bytes, vocabulary: int, block: int) -> dict:
@@ -177,13 +171,13 @@ def verdict(item: dict, words: list) -> tuple:
 
 def _search(space_bc, items_bc, vocabulary: int, block: int, cosine: float):
     def run(batches):
-        space, items = space_bc.value, items_bc.value
+        (idf, basis), items = space_bc.value, items_bc.value
         owner = np.concatenate([np.full(len(p["buckets"]), i) for i, p in enumerate(items)])
         bucket, row, n = _rows([b for p in items for b in p["buckets"]])
-        query = project(bucket, row, n, space.basis)
+        query = project(bucket, row, n, basis)
         query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
-        weight = space.idf**2
-        useful = np.abs(space.basis).max(1) > 0
+        weight = idf**2
+        useful = np.abs(basis).max(1) > 0
         for batch in batches:
             ids = batch.column("doc_id")
             for at, texts in slices(batch):
@@ -194,7 +188,7 @@ def _search(space_bc, items_bc, vocabulary: int, block: int, cosine: float):
                     continue
                 norm = np.bincount(number, weight[bucket], n)
                 use = useful[bucket]
-                x = project(bucket[use], number[use], n, space.basis)
+                x = project(bucket[use], number[use], n, basis)
                 same = np.flatnonzero(text[1:] == text[:-1])
                 x[same] += x[same + 1]
                 norm[same] += norm[same + 1]
