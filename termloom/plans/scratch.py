@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,10 @@ def discard(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects the plans that made them; after a step that is written to
+    scratch nothing needs them, so collect now rather than when the driver's heap happens to be full."""
+    gc.collect()
+    spark._jvm.System.gc()
