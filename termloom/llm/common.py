@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import discard, materialise, scratch_path  # noqa: F401
+from ..plans.scratch import discard, materialise, release, scratch_path  # noqa: F401
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`; equal to what bytes.split() splits at.
 WS = r"[\x20\x09-\x0D]+"
