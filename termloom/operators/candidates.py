@@ -162,5 +162,25 @@ def stratum_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+def matches_among(pairs: DataFrame, vocab: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """(keyword_a, keyword_b) of candidate pairs whose normal forms reach a Jaro-Winkler."""
+    a = vocab.select(F.col("keyword").alias("keyword_a"), F.col("norm").alias("na"))
+    b = vocab.select(F.col("keyword").alias("keyword_b"), F.col("norm").alias("nb"))
+    x = pairs.select("keyword_a", "keyword_b").distinct().join(a, "keyword_a").join(b, "keyword_b")
+    x = x.withColumn("_s", jaro_winkler(F.col("na"), F.col("nb"))).where(F.col("_s") >= threshold)
+    return x.select("keyword_a", "keyword_b")
+
+
+def rebuilt_matches(vocab: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """Matches without a verifier: equal normal forms, and pairs of one prefix, of equal text without
+    punctuation or of singular and plural that reach the threshold. The length filter loses none of them."""
+    from ..functions.similarity import least_length_ratio
+
+    near = spelling_variants(vocab, threshold, None, least_length=3, ratio=least_length_ratio(threshold))
+    other = punctuation_variants(vocab).unionByName(plural_variants(vocab))
+    parts = [case_variants(vocab).select("keyword_a", "keyword_b"), near.select("keyword_a", "keyword_b"), matches_among(other, vocab, threshold)]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def estimated_pool(sampled: int, floor: int = 50_000, fallback: int = 63_500) -> int:
     return max(5 * sampled, floor) if sampled else fallback

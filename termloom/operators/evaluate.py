@@ -103,6 +103,22 @@ def confusion(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return labels.join(got, a, "left").fillna(0)
 
 
+def disagreements(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of different labels, with empty columns for the adjudicator."""
+    return pairs.where(~F.col(a).eqNullSafe(F.col(b))).withColumn("adjudicator_label", F.lit("")).withColumn("adjudicator_notes", F.lit(""))
+
+
+def label_distribution(pairs: DataFrame, label: str) -> DataFrame:
+    """(label, n) with zeros filled."""
+    all_ = pairs.sparkSession.createDataFrame([(x,) for x in LABELS], f"{label} string")
+    got = pairs.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return all_.join(got, label, "left").fillna(0, ["n"])
+
+
+def status_counts(assigned: DataFrame, status: str = "agreement_status") -> DataFrame:
+    return assigned.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
 def gold(first: str, second: str, adjudicated: str) -> tuple:
     """(gold_label, agreement_status) columns: an agreed valid label, else a valid adjudication, else uncertain."""
     a, b, c = F.col(first), F.col(second), F.col(adjudicated)

@@ -137,6 +137,17 @@ def histogram(log: DataFrame, decision: str = "decision") -> DataFrame:
     return log.groupBy(decision).agg(F.count(F.lit(1)).alias("n"))
 
 
+def call_statistics(log: DataFrame, tokens_in: str = "input_tokens", tokens_out: str = "output_tokens", price: str = "cost_usd") -> DataFrame:
+    """One row: calls, mean tokens in and out, total cost."""
+    return log.agg(F.count(F.lit(1)).alias("n_calls"), F.avg(tokens_in).alias("mean_in"), F.avg(tokens_out).alias("mean_out"), F.coalesce(F.round(F.sum(price), 6), F.lit(0.0)).alias("total_cost"))
+
+
+def coverage(pairs: DataFrame, log: DataFrame, key: list) -> DataFrame:
+    """One row: candidates, how many of them the log has decided, and their share."""
+    x = pairs.select(*key).join(log.select(*key).distinct().withColumn("_d", F.lit(1)), key, "left")
+    return x.agg(F.count(F.lit(1)).alias("n_pairs"), F.count("_d").alias("n_decided"), F.coalesce(F.try_divide(F.count("_d"), F.count(F.lit(1))), F.lit(0.0)).alias("coverage"))
+
+
 def projection(n_pairs: int, mean_in: float, mean_out: float, per_1000_in: float, per_1000_out: float, most_cost: float = 50.0, most_pairs: int = 20_000) -> dict:
     """Projected cost of a run, and why it should halt, if it should."""
     total = n_pairs * (mean_in / 1000 * per_1000_in + mean_out / 1000 * per_1000_out)

@@ -512,6 +512,38 @@ def decision_histogram(spark, d):
     return V.histogram(V.guarded(answers(spark, d)), "guard_decision")
 
 
+@query("""select count(*) as n_pairs, count(*) filter (c_custkey in (select user_id from events)) as n_decided, count(*) filter (c_custkey in (select user_id from events))::double / count(*) as coverage from customer""")
+def verification_coverage(spark, d):
+    return V.coverage(table(spark, d, "customer").select(F.col("c_custkey").alias("pair_id")), answers(spark, d), ["pair_id"])
+
+
+@query("""select count(*) as n_calls, avg(user_id) as mean_in, avg(event_id) as mean_out, round(sum(round(user_id / 1000.0::double * 0.5 + event_id / 1000.0::double * 1.5, 6)), 6) as total_cost from events""")
+def verification_costs(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("input_tokens"), F.col("event_id").alias("output_tokens"))
+    return V.call_statistics(e.withColumn("cost_usd", V.cost(F.col("input_tokens"), F.col("output_tokens"), 0.5, 1.5)))
+
+
+_AUTO = "jw as (select a.keyword as keyword_a, b.keyword as keyword_b, jaro_winkler_similarity(a.norm, b.norm) as jw, case when left(a.norm, 1) < 'm' then 'ii' else 'vi' end as stratum from pvoc a join pvoc b on left(a.norm, 1) = left(b.norm, 1) and a.keyword < b.keyword)"
+
+
+@query(f"""with {PVOC}, {_AUTO} select keyword_a, keyword_b, case when stratum = 'ii' then case when jw >= 0.92 then 'match' else 'non_match' end end as auto_decision,
+case when stratum = 'ii' then round(case when jw >= 0.92 then jw else 1 - jw end, 9) end as auto_confidence from jw""")
+def auto_decisions(spark, d):
+    x = jw_scores(spark, d).withColumn("stratum", F.when(F.col("keyword_a") < "m", "ii").otherwise("vi")).withColumnRenamed("score", "jw")
+    x = V.auto_decide(x)
+    return x.select("keyword_a", "keyword_b", "auto_decision", F.round("auto_confidence", 9).alias("auto_confidence"))
+
+
+@query(f"with {ANNOTATED} select pair_id, gold_label, second, '' as adjudicator_label, '' as adjudicator_notes from ann where gold_label <> second")
+def disagreements(spark, d):
+    return E.disagreements(annotated(spark, d).select("pair_id", "gold_label", "second"), "gold_label", "second")
+
+
+@query(f"with {ANNOTATED}, l as (select unnest(['match', 'non_match', 'uncertain']) as second) select second, count(pair_id) as n from l left join ann using (second) group by 1")
+def label_distribution(spark, d):
+    return E.label_distribution(annotated(spark, d), "second")
+
+
 # --- clusters and networks --------------------------------------------------------------------------------
 
 
@@ -532,6 +564,13 @@ cn as (select cluster, arg_min(keyword, (-frequency, keyword)) as canonical_form
 mp as (select keyword, canonical_form, canonical_form as cluster_id, frequency as freq from cl join cn using (cluster) join pvoc using (keyword))"""
 
 
+@query(f"""with {PVOC} select distinct least(a.keyword, b.keyword) as keyword_a, greatest(a.keyword, b.keyword) as keyword_b from pvoc a join pvoc b on a.keyword < b.keyword
+where a.norm = b.norm or (a.frequency >= 2 and b.frequency >= 2 and length(a.norm) >= 3 and length(b.norm) >= 3 and left(a.norm, 3) = left(b.norm, 3) and jaro_winkler_similarity(a.norm, b.norm) >= 0.85)
+or (regexp_replace(a.norm, '[-/(). ]', '', 'g') = regexp_replace(b.norm, '[-/(). ]', '', 'g') and jaro_winkler_similarity(a.norm, b.norm) >= 0.85)""")
+def rebuilt_matches(spark, d):
+    return C.rebuilt_matches(part_vocabulary(spark, d), 0.85)
+
+
 @query(f"{_CLUSTER} select * from cl")
 def components_jw(spark, d):
     return N.clusters(matched(spark, d), part_vocabulary(spark, d))
