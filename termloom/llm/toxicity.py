@@ -17,7 +17,7 @@ from .common import hash_words, slices, table
 from .licences import normal_words
 
 #: Labelled rows that learning sees at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: Hashed features: words, and their first bytes of two lengths.
 BITS, BEGINNINGS = 18, (5, 7)
 THRESHOLD = 0.7
@@ -142,6 +142,16 @@ def train_linear(row, feature, y, chosen, total, rounds: int = 800, decay: float
     return out, b
 
 
+def _entries(lists, label: np.ndarray, total: int) -> tuple:
+    """(row, feature) of the sample's features that could pass induce(): neither in fewer than three rows
+    nor in more than the toxic rows could fill by three tenths."""
+    feature = np.concatenate([x.values.to_numpy() for x in lists.chunks])
+    row = np.repeat(np.arange(len(label), dtype=np.int32), np.concatenate([x.value_lengths().to_numpy() for x in lists.chunks]))
+    n = np.bincount(feature, minlength=total)
+    keep = ((n >= 3) & (n <= max(3.0, label.sum() * 1.5 / 0.3)))[feature]
+    return row[keep].astype(np.int64), feature[keep].astype(np.int64)
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> tuple:
     """(weights, bias) from at most `sample` labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
@@ -153,11 +163,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> tupl
     label = np.asarray(got.column("toxic").to_pylist(), float)
     if not len(label) or not 0 < label.sum() < len(label):
         return np.zeros(total, np.float32), -3.0 if not label.sum() else 3.0
-    lists = got.column("features").combine_chunks()
-    feature = lists.values.to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()))
+    row, feature = _entries(got.column("features"), label, total)
+    n_words, loud = got.column("n").to_numpy(), np.array(got.column("loud").to_pylist(), bool)
+    del got
     lexicon = induce(row, feature, label, total)
-    votes = votes_of(row, feature, got.column("n").to_numpy(), np.array(got.column("loud").to_pylist(), bool), label, lexicon)
+    votes = votes_of(row, feature, n_words, loud, label, lexicon)
     posterior, _ = label_model(votes, float(label.mean()))
     chosen = induce(row, feature, posterior, total, 3.5)
     seeds = (hash_words([s.encode() for s in SEEDS])[0] & np.uint64((1 << BITS) - 1)).astype(np.int64)
