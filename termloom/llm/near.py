@@ -3,8 +3,11 @@
 Documents with equal shingle sets form a class, and only classes are compared. Each bucket of a band names
 its most popular class (the one that meets most others over all bands) as centre, and pairs every other
 class with it; pairs are confirmed on the full sets. A centre may be unlike two classes that are like each
-other, so in buckets that still hold several components, the classes outside the largest one meet the
-others of the bucket, which makes the result the same as comparing all pairs of a bucket.
+other. Members x of a centre c are therefore known by what they add to c and how much they lack of it, and
+two members of different components are compared if they share an added shingle, or if one could be like
+the other without that: with r shingles of c lacking and a added, at best c - max(r) of them are common and
+c - min(r) + sum(a) are in the union. Both are exact bounds: no pair of a bucket that could be a link is
+left out, and random edits of one text, which share no additions, make no pairs.
 """
 
 from __future__ import annotations
@@ -93,8 +96,9 @@ def _sign(words: int):
     return run
 
 
-def _confirm(words: int, percent: int):
-    """Keeps the pairs whose full sets have 100 * intersection >= percent * union."""
+def _compare(words: int, percent: int):
+    """Pairs (a, b, za, zb) as (a, b, linked, nb, lacks, adds, added): whether the full sets have
+    100 * intersection >= percent * union, the size of b, what a lacks of it, adds to it, and the added."""
 
     def run(batches):
         unpack, sets = zstandard.ZstdDecompressor().decompress, OrderedDict()
@@ -108,16 +112,56 @@ def _confirm(words: int, percent: int):
             return sets[key]
 
         for batch in batches:
-            keep = []
+            linked, nb, lacks, added = [], [], [], []
             for a, b, za, zb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "za", "zb")], strict=True):
                 x, y = of(a, za), of(b, zb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                new = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] != x]
+                both = len(x) - len(new)
+                linked.append(100 * both >= percent * (len(y) + len(new)))
+                nb.append(len(y))
+                lacks.append(len(y) - both)
+                added.append(new.view(np.int64))
+            yield pa.record_batch(
+                [
+                    batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(nb, pa.int64()), pa.array(lacks, pa.int64()),
+                    pa.array([len(x) for x in added], pa.int64()), pa.array(added, pa.list_(pa.int64())),
+                ],
+                ["a", "b", "linked", "nb", "lacks", "adds", "added"],
+            )
 
     return run
 
 
+def _open_pairs(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of one centre in different components that may be links, by the bounds above."""
+    m = stars.select("a", "b", "nb", "lacks", "adds", "added").join(roots.select(F.col("cid").alias("a"), "root"), "a", "left")
+    m = m.withColumn("root", F.coalesce("root", "a"))
+    several = m.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
+    m = materialise(m.join(several, "b"), "members")
+
+    each = m.select("a", "b", "root", "nb", "lacks", "adds", F.explode("added").alias("s"))
+    mixed = each.groupBy("b", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b", "s")
+    each = each.join(mixed, ["b", "s"])
+    other = each.select("b", "s", F.col("a").alias("a2"), F.col("root").alias("root2"), F.col("lacks").alias("lacks2"), F.col("adds").alias("adds2"))
+    both = each.join(other, ["b", "s"]).where("a < a2 and root <> root2")
+    both = both.groupBy("a", "a2", "b", "nb", "lacks", "lacks2", "adds", "adds2").agg(F.count(F.lit(1)).alias("s"))
+
+    def may_link(s):
+        common = F.col("nb") - F.greatest("lacks", "lacks2") + s
+        union = F.col("nb") - F.least("lacks", "lacks2") + F.col("adds") + F.col("adds2") - s
+        return 100 * common >= percent * union
+
+    sharing = both.where(may_link(F.col("s"))).select("a", "a2")
+    # Members with the same counts behave alike: their kinds meet, not they. At least one of two kinds has to be smaller than the centre.
+    kinds = m.groupBy("b", "nb", "lacks", "adds").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    small = kinds.where("lacks > adds").select("b", F.col("lacks").alias("lacks2"), F.col("adds").alias("adds2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    fits = kinds.join(small, "b").where(may_link(F.lit(0))).where("lo <> hi or lo2 <> hi2 or lo <> lo2")
+    one = m.select("b", "lacks", "adds", "a", "root")
+    two = m.select("b", F.col("lacks").alias("lacks2"), F.col("adds").alias("adds2"), F.col("a").alias("a2"), F.col("root").alias("root2"))
+    alike = fits.select("b", "lacks", "adds", "lacks2", "adds2").join(one, ["b", "lacks", "adds"]).join(two, ["b", "lacks2", "adds2"]).where("root <> root2")
+    return sharing.unionByName(alike.select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("a2"))).distinct().withColumnRenamed("a2", "b")
+
+
 def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -134,48 +178,40 @@ def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     signed = materialise(signed, "signed")
     some = signed.where("fp is not null")
     classes = some.groupBy("fp").agg(
-        F.min("doc_id").alias("least"), F.min("tid").alias("cid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("least"), F.min("tid").alias("cid"), F.first("bands").alias("bands")
     )
     classes = materialise(classes, "classes")
 
-    rows = classes.select("cid", "n", F.explode("bands").alias("bucket"))
+    rows = classes.select("cid", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     rows = materialise(rows.join(shared, "bucket"), "buckets")
     fame = rows.groupBy("cid").agg(F.sum("m").alias("fame"))
     ranked = rows.join(fame, "cid")
-    centre = ranked.groupBy("bucket").agg(F.max(F.struct("fame", "cid")).alias("c"), F.max_by("n", F.struct("fame", "cid")).alias("cn"))
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    close = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
-    first = rows.join(centre, "bucket").where((F.col("cid") != F.col("c.cid")) & close(F.col("n"), F.col("cn")))
-    first = materialise(first.select(*pair(F.col("cid"), F.col("c.cid"))).distinct(), "pairs")
+    centre = ranked.groupBy("bucket").agg(F.max(F.struct("fame", "cid")).alias("c"))
+    first = rows.join(centre, "bucket").where(F.col("cid") != F.col("c.cid"))
+    first = materialise(first.select(F.col("cid").alias("a"), F.col("c.cid").alias("b")).distinct(), "pairs")
 
     texts = squeezed(docs.select(tid, "text"))
     wanted = rows.select(F.col("cid").alias("tid")).distinct()
     texts = materialise(texts.join(wanted, "tid").groupBy("tid").agg(F.first("z").alias("z")), "texts")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         x = pairs.join(texts.select(F.col("tid").alias("a"), F.col("z").alias("za")), "a")
         x = x.join(texts.select(F.col("tid").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb")
-        return materialise(x.mapInArrow(_confirm(words, percent), "a binary, b binary"), "links")
+        schema = "a binary, b binary, linked boolean, nb long, lacks long, adds long, added array<long>"
+        return x.mapInArrow(_compare(words, percent), schema)
 
-    links = confirmed(first)
+    stars = materialise(compared(first), "stars")
+    links = stars.where("linked").select("a", "b")
     roots = components(links, "a", "b").select(F.col("node").alias("cid"), "root")
-    placed = rows.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    placed = materialise(placed.select("bucket", "cid", "n", "root"), "placed")
-    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    open_ = placed.join(main.select("bucket", F.col("top.root").alias("main")), "bucket")
-    rest = open_.where("root <> main").select("bucket", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("r2"))
-    more = open_.join(rest, "bucket").where((F.col("root") != F.col("r2")) & close(F.col("n"), F.col("n2")))
-    more = more.where((F.col("root") == F.col("main")) | (F.col("cid") < F.col("c2")))
-    more = more.select(*pair(F.col("cid"), F.col("c2"))).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(more))
+    more = compared(_open_pairs(stars, roots, percent)).where("linked").select("a", "b")
+    links = links.unionByName(materialise(more, "links"))
 
     roots = components(links, "a", "b").select(F.col("node").alias("cid"), "root")
     classes = classes.select("fp", "cid", "least").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialise(classes.join(ids, "root").select("fp", "component_id"), "component")
-    discard(first, rows, texts, placed)
+    discard(first, rows, texts, stars)
     out = signed.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
