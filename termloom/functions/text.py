@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SPACE = r"[\s\x1c-\x1f]+"
 ASCII = r"^[\x00-\x7F]*$"
@@ -18,7 +19,7 @@ MATCH, NON_MATCH, UNCERTAIN = "match", "non_match", "uncertain"
 LABELS = (MATCH, NON_MATCH, UNCERTAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalise_any(s: pd.Series) -> pd.Series:
     one = lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x).lower().strip())
     return s.map(lambda x: None if x is None else one(x))
