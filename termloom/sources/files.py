@@ -10,7 +10,7 @@ from pyspark.sql import types as S
 from ..functions.text import label
 from ..operators.network import both_ways, induced, matrix
 
-ENCODINGS = ("utf-8", "latin-1")
+ENCODINGS = ("utf-8", "iso-8859-1")
 #: Names of a corpus column, first match wins, then without regard to case.
 ALIASES = {
     "article_id": ("EID", "article_id"), "title": ("Title",), "year": ("Year",), "doc_type": ("Document Type",),
@@ -37,7 +37,7 @@ def require(spark: SparkSession, path: str) -> str:
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """utf-8 if every file's bytes decode as such, else latin-1; checked where the bytes are."""
+    """utf-8 if every file's bytes decode as such, else ISO 8859-1; checked where the bytes are."""
     raw = spark.read.format("binaryFile").load(path).select("content")
     bad = raw.where(~F.is_valid_utf8(F.col("content").cast("string")))
     return ENCODINGS[0] if bad.isEmpty() else ENCODINGS[1]

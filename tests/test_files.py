@@ -13,7 +13,7 @@ def test_csv_with_mark_encoding_aliases_and_sniffing(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes("id,author keywords\n2-s2.0-1,caf\xe9\n".encode("latin-1"))
     df = S.read_csv(spark, str(tmp_path / "a.csv"))
     assert df.columns[0] == "EID" and df.count() == 2
-    assert S.encoding_of(spark, str(tmp_path / "b.csv")) == "latin-1"
+    assert S.encoding_of(spark, str(tmp_path / "b.csv")) == "iso-8859-1"
     c = S.read_corpus(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))
     assert [r.author_keywords for r in c.orderBy("_batch", "_row").collect()] == ["a; b", None, "café"]
     assert c.where("article_id is null").count() == 0
