@@ -120,14 +120,15 @@ def fit(docs: DataFrame, items: list, vocabulary=VOCABULARY, dimensions=DIMENSIO
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
     idf[df > COMMON * max(n, 100)] = 0
     rows = docs.select("text").mapInArrow(_sampled(vocabulary, block, sample / max(n, 1)), "buckets array<long>")
-    rows = materialise(rows.coalesce(8), "sample")
+    rows = materialise(rows.coalesce(2), "sample")
     own, row, m = _rows([b for p in items for b in p["buckets"]])
     rng = np.random.default_rng(seed)
     q = rng.standard_normal((vocabulary, dimensions)).astype(np.float32)
     for _ in range(rounds):
         bc = spark.sparkContext.broadcast(q)
-        parts = rows.mapInArrow(_through(bc, idf), "m binary").collect()  # at most 8 matrices of fixed size
-        y = sum((np.frombuffer(p["m"], np.float32).reshape(q.shape) for p in parts), np.zeros_like(q))
+        y = np.zeros_like(q)
+        for p in rows.coalesce(2).mapInArrow(_through(bc, idf), "m binary").toLocalIterator():  # two matrices of fixed size
+            y += np.frombuffer(p["m"], np.float32).reshape(q.shape)
         scaled = q * idf[:, None]
         mine = np.zeros_like(q)
         np.add.at(mine, own, project(own, row, m, scaled)[row] * idf[own][:, None])
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, items: list, vocabulary=VOCABULARY, dimensions=DIMENSIO
         y = y / max(float(np.linalg.norm(y)), 1e-9) + mine / max(float(np.linalg.norm(mine)), 1e-9)
         q, _ = np.linalg.qr(y)
         q = q.astype(np.float32)
-        bc.unpersist()
+        bc.destroy()
     return idf, q * idf[:, None]
 
 
