@@ -202,4 +202,7 @@ def stage(spark, docs, sf_dir):
     rules = learn(measured, table(spark, sf_dir, "labels"))
     discard(measured)
     whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    return measure(whole, "_text").where(~base_failed() & verdict(rules).isNull()).select("_row.*")
+    # A filter on these columns would be pushed below them, each written out in full wherever it is used;
+    # it stays above a column that is not deterministic, and rand() >= 0 holds for every row.
+    x = measure(whole, "_text").withColumn("_hold", F.rand(0))
+    return x.where(~base_failed() & verdict(rules).isNull() & (F.col("_hold") >= 0)).select("_row.*")
