@@ -1,9 +1,9 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by words in common and longest common subsequences.
 
-TF-IDF over hashed words, with document frequencies of all blocks of all documents; a randomised SVD of
-benchmark passages and a bounded sample of corpus blocks gives a latent space; every window of every
-document is compared with every benchmark passage there, and candidates are checked by the longest common
-subsequence with the item and with its answer, which also finds paraphrases.
+A hit needs a share of the item's words in order, so a window that lacks too many of the item's words can't
+hold one. Every window of every document is compared with every item by the words that they share, over
+inverted lists of the items' words; the bound is exact and leaves out no hit. What remains is checked by the
+longest common subsequence with the item and with its answer, which also finds paraphrases.
 """
 
 from __future__ import annotations
@@ -15,27 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialise, mix64, slices, table
+from .common import hash_words, materialise, slices, table
 from .licences import normal_words
 
-#: Hashed vocabulary, latent dimensions, words of a block (a window is two blocks).
-VOCABULARY, DIMENSIONS, BLOCK = 1 << 15, 128, 32
-#: Corpus blocks that the fit sees at most, about; the search covers every window.
-SAMPLE_BLOCKS = 20_000
-#: Words in more than this share of the blocks carry no weight.
-COMMON = 0.05
-#: Cosine of a candidate; share of the item's words, in order, in a hit; the same where the answer holds too.
-COSINE, SUBSEQUENCE, WITH_ANSWER, ANSWER = 0.28, 0.75, 0.6, 0.6
-#: Items that one search holds: a larger benchmark takes several searches.
-ITEMS_AT_ONCE = 20_000
+#: Words of a block (a window is two blocks, and is checked with an item's length more on either side).
+BLOCK = 32
+#: Share of the item's words, in order, in a hit; the same where the answer holds too.
+SUBSEQUENCE, WITH_ANSWER, ANSWER = 0.75, 0.6, 0.6
+#: Items that one search holds: a larger benchmark takes several searches. Items that are counted together.
+ITEMS_AT_ONCE, ITEMS_COUNTED = 20_000, 256
+#: Share of an item's words, the rarest, that the bound counts; any above 1 - WITH_ANSWER loses no hit.
+COUNTED = 0.65
 
 
 def normal(texts: list) -> list:
     return [b" ".join(normal_words(t)) for t in texts]
 
 
-def blocks_of(texts: list, vocabulary: int, block: int) -> tuple:
-    """(word buckets, block number of each word, text number of each block, first word of each block)."""
+def blocks_of(texts: list, block: int) -> tuple:
+    """(word hashes, block number of each word, text number of each block, first word of each block)."""
     h, off, *_ = hash_words(texts)
     n = np.diff(off)
     word = np.arange(len(h)) - np.repeat(off[:-1], n)
@@ -44,111 +42,14 @@ def blocks_of(texts: list, vocabulary: int, block: int) -> tuple:
     number = np.repeat(first[:-1], n) + word // block
     text = np.repeat(np.arange(len(texts)), per)
     start = (np.arange(first[-1]) - first[text]) * block
-    return (h % np.uint64(vocabulary)).astype(np.int64), number, text, start
+    return h, number, text, start
 
 
-def _frequencies(vocabulary: int, block: int):
-    def run(batches):
-        df, n = np.zeros(vocabulary, np.int64), 0
-        for batch in batches:
-            for _, texts in slices(batch):
-                bucket, number, text, _ = blocks_of(normal(texts), vocabulary, block)
-                df += np.bincount(np.unique(number * vocabulary + bucket) % vocabulary, minlength=vocabulary)
-                n += len(text)
-        some = np.flatnonzero(df)
-        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["bucket", "n"])
-
-    return run
-
-
-def _sampled(vocabulary: int, block: int, share: float):
-    def run(batches):
-        most = np.uint64(min(share, 1.0) * (2.0**63)) * np.uint64(2) if share < 1 else np.uint64(2**64 - 1)
-        for batch in batches:
-            for _, texts in slices(batch):
-                bucket, number, text, _ = blocks_of(normal(texts), vocabulary, block)
-                if not len(text):
-                    continue
-                cut = np.searchsorted(number, np.arange(len(text) + 1))
-                mark = np.add.reduceat(mix64(bucket.astype(np.uint64) + np.uint64(1)), cut[:-1])
-                keep = np.flatnonzero(mix64(mark) <= most)
-                yield pa.record_batch([pa.array([bucket[cut[i] : cut[i + 1]] for i in keep], pa.list_(pa.int64()))], ["buckets"])
-
-    return run
-
-
-def _rows(lists) -> tuple:
-    n = np.array([len(x) for x in lists])
-    return np.concatenate(lists) if len(lists) else np.zeros(0, np.int64), np.repeat(np.arange(len(lists)), n), len(lists)
-
-
-def project(bucket, row, n_rows, basis) -> np.ndarray:
-    """Sums of the basis rows of each row's buckets; rows in order."""
-    out = np.zeros((n_rows, basis.shape[1]), np.float32)
-    if len(bucket):
-        head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        out[row[head]] = np.add.reduceat(basis[bucket], head, axis=0)
-    return out
-
-
-def _through(matrix_bc, idf):
-    """Per partition: the sum over its rows a of a' (a M), the step of a randomised SVD, as one binary row."""
-
-    def run(batches):
-        m = matrix_bc.value
-        scaled, total = m * idf[:, None], np.zeros_like(m)
-        for batch in batches:
-            bucket, row, n = _rows([np.asarray(x, np.int64) for x in batch.column("buckets").to_pylist()])
-            np.add.at(total, bucket, project(bucket, row, n, scaled)[row] * idf[bucket][:, None])
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["m"])
-
-    return run
-
-
-def fit(docs: DataFrame, items: list, vocabulary=VOCABULARY, dimensions=DIMENSIONS, block=BLOCK, sample=SAMPLE_BLOCKS, rounds=2, seed=7) -> tuple:
-    """(idf, basis with idf in it) of the latent space: document frequencies of all blocks, and the
-    randomised SVD of the benchmark's passages with a sample of blocks."""
-    spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_frequencies(vocabulary, block), "bucket long, n long")
-    got = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most vocabulary + 1 rows
-    df, n = np.zeros(vocabulary), 0
-    for b, m in zip(got.column("bucket").to_pylist(), got.column("n").to_pylist(), strict=True):
-        if b < 0:
-            n = m
-        else:
-            df[b] = m
-    idf = np.log((1 + n) / (1 + df)).astype(np.float32)
-    idf[df > COMMON * max(n, 100)] = 0
-    rows = docs.select("text").mapInArrow(_sampled(vocabulary, block, sample / max(n, 1)), "buckets array<long>")
-    rows = materialise(rows.coalesce(2), "sample")
-    own, row, m = _rows([b for p in items for b in p["buckets"]])
-    rng = np.random.default_rng(seed)
-    q = rng.standard_normal((vocabulary, dimensions)).astype(np.float32)
-    for _ in range(rounds):
-        bc = spark.sparkContext.broadcast(q)
-        y = np.zeros_like(q)
-        for p in rows.coalesce(2).mapInArrow(_through(bc, idf), "m binary").toLocalIterator():  # two matrices of fixed size
-            y += np.frombuffer(p["m"], np.float32).reshape(q.shape)
-        scaled = q * idf[:, None]
-        mine = np.zeros_like(q)
-        np.add.at(mine, own, project(own, row, m, scaled)[row] * idf[own][:, None])
-        # The benchmark's passages weigh as much as the sample: the space has to tell them apart.
-        y = y / max(float(np.linalg.norm(y)), 1e-9) + mine / max(float(np.linalg.norm(mine)), 1e-9)
-        q, _ = np.linalg.qr(y)
-        q = q.astype(np.float32)
-        bc.destroy()
-    return idf, q * idf[:, None]
-
-
-def passages(item_id, text: bytes, vocabulary: int, block: int) -> dict:
-    """An item's words, answer (its last sentence, 3 words at least) and passages of up to 1.5 blocks."""
+def item_of(item_id, text: bytes) -> dict:
+    """An item's words, their hashes, and its answer (its last sentence, 3 words at least)."""
     words = normal([text])[0].split()
-    size, step = block * 3 // 2, block * 3 // 4
-    starts = range(0, max(1, len(words) - step), step) if len(words) > size else (0,)
-    cut = [words[s : s + size] for s in starts] if words else []
     last = [p for p in (normal([s])[0].split() for s in text.replace(b"?", b".").replace(b"!", b".").replace(b"\n", b".").split(b".")) if len(p) >= 3]
-    buckets = [(hash_words([b" ".join(c)])[0] % np.uint64(vocabulary)).astype(np.int64) for c in cut]
-    return {"item_id": item_id, "words": words, "answer": last[-1] if last else words, "buckets": buckets}
+    return {"item_id": item_id, "words": words, "answer": last[-1] if last else words, "hashes": hash_words([b" ".join(words)])[0]}
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -164,47 +65,91 @@ def common_subsequence(a: list, b: list) -> int:
 
 
 def verdict(item: dict, words: list) -> tuple:
-    """(is a hit, share of the item's words in order, share of the answer's)."""
+    """(is a hit, share of the item's words in order, share of the answer's, 0 where no answer could help)."""
     share = common_subsequence(item["words"], words) / max(1, len(item["words"]))
+    if share < WITH_ANSWER:
+        return False, share, 0.0
     answer = common_subsequence(item["answer"], words) / max(1, len(item["answer"]))
     return share >= SUBSEQUENCE or (share >= WITH_ANSWER and answer >= ANSWER), share, answer
 
 
-def _search(space_bc, items_bc, vocabulary: int, block: int, cosine: float):
+class Shared:
+    """The (window, item) pairs that may be hits. The window, with the item's length more on either side, may
+    lack words that make up 1 - WITH_ANSWER of the item's, repeats counted as often as the item has them. Only
+    the item's rarest words, COUNTED of it, are counted: the window may lack as many of them, and no more."""
+
+    def __init__(self, items: list, block: int, at_once: int = ITEMS_COUNTED):
+        each = [np.unique(x["hashes"], return_counts=True) for x in items]
+        known, held = np.unique(np.concatenate([h for h, _ in each]), return_counts=True)
+        for j, (h, n) in enumerate(each):
+            rare = np.argsort(held[np.searchsorted(known, h)], kind="stable")
+            rare = rare[: np.searchsorted(np.cumsum(n[rare]), COUNTED * n.sum()) + 1]
+            each[j] = h[rare], n[rare]
+        self.words = np.unique(np.concatenate([h for h, _ in each]))
+        self.parts = []
+        for k in range(0, len(items), at_once):
+            some = each[k : k + at_once]
+            word = np.searchsorted(self.words, np.concatenate([h for h, _ in some]))
+            by_word = np.argsort(word, kind="stable")
+            owner = np.repeat(np.arange(len(some)), [len(h) for h, _ in some])[by_word]
+            times = np.concatenate([n for _, n in some])[by_word]
+            uses = np.bincount(word, minlength=len(self.words))
+            size = np.array([len(x["words"]) for x in items[k : k + at_once]])
+            least = np.array([n.sum() for _, n in some]) - np.floor(size * (1 - WITH_ANSWER) + 1e-6)
+            self.parts.append((k, owner, times, uses, np.cumsum(uses) - uses, -(-size // block), least))
+
+    def pairs(self, h, number, text):
+        """(window, item) arrays, part by part; a window has the number of its first block."""
+        n = len(text)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        own = self.words[at] == h
+        word, block = np.divmod(np.unique(at[own] * n + number[own]), n)
+        if not len(word):
+            return
+        first, last = np.searchsorted(text, text)[block], np.searchsorted(text, text, "right")[block] - 1
+        again = (word[1:] == word[:-1]) & (first[1:] == first[:-1])
+        before = np.concatenate(([-n * 2], np.where(again, block[:-1], -n * 2)))
+        for k, owner, times, uses, offset, reach, least in self.parts:
+            m = uses[word]
+            i = np.repeat(np.arange(len(word)), m)
+            use = offset[word][i] + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+            item = owner[use]
+            far = reach[item]
+            # A word counts in the windows around its block, less those that its last occurrence has reached.
+            low = np.maximum(np.maximum(block[i] - 1 - far, first[i]), np.where(before[i] < 0, -1, before[i] + far + 1))
+            high = np.minimum(block[i] + far, last[i]) + 1
+            some = low < high
+            low, high, item, weight = low[some], high[some], item[some], times[use][some]
+            cells = (n + 1) * len(least)
+            step = np.bincount(low * len(least) + item, weight, cells) - np.bincount(high * len(least) + item, weight, cells)
+            window, found = np.nonzero(step.reshape(n + 1, len(least)).cumsum(0)[:n] >= least)
+            yield window, found + k
+
+
+def _search(items_bc, block: int):
     def run(batches):
-        (idf, basis), items = space_bc.value, items_bc.value
-        owner = np.concatenate([np.full(len(p["buckets"]), i) for i, p in enumerate(items)])
-        bucket, row, n = _rows([b for p in items for b in p["buckets"]])
-        query = project(bucket, row, n, basis)
-        query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
-        weight = idf**2
-        useful = np.abs(basis).max(1) > 0
+        items = items_bc.value
+        shared = Shared(items, block)
         for batch in batches:
             ids = batch.column("doc_id")
             for at, texts in slices(batch):
                 texts = normal(texts)
-                bucket, number, text, start = blocks_of(texts, vocabulary, block)
-                n = len(text)
-                if not n:
-                    continue
-                norm = np.bincount(number, weight[bucket], n)
-                use = useful[bucket]
-                x = project(bucket[use], number[use], n, basis)
-                same = np.flatnonzero(text[1:] == text[:-1])
-                x[same] += x[same + 1]
-                norm[same] += norm[same + 1]
-                near = (x @ query.T) / np.sqrt(np.maximum(norm, 1e-9))[:, None]
-                window, passage = np.nonzero(near >= cosine)
+                h, number, text, start = blocks_of(texts, block)
                 found, split = {}, {}
-                for w, p in sorted({(int(w), int(owner[p])) for w, p in zip(window, passage, strict=True)}):
-                    t = int(text[w])
-                    if t not in split:
-                        split = {t: texts[t].split()}
-                    item = items[p]
-                    a = max(0, int(start[w]) - len(item["words"]))
-                    ok, share, answer = verdict(item, split[t][a : int(start[w]) + 2 * block + len(item["words"])])
-                    if ok and found.get((t, p), (0, 0)) < (share, answer):
-                        found[t, p] = (share, answer)
+                for window, of in shared.pairs(h, number, text):
+                    for w, p in zip(window.tolist(), of.tolist(), strict=True):
+                        t = int(text[w])
+                        if t not in split:
+                            split[t] = texts[t].split()
+                        item = items[p]
+                        a, size = int(start[w]), len(item["words"])
+                        words = split[t][max(0, a - size) : a + 2 * block + size]
+                        have = set(words)
+                        if sum(x in have for x in item["words"]) / size < WITH_ANSWER:
+                            continue
+                        ok, share, answer = verdict(item, words)
+                        if ok and found.get((t, p), (0, 0)) < (share, answer):
+                            found[t, p] = (share, answer)
                 if found:
                     docs, hits = ids.take(pa.array([at + t for t, _ in found])), list(found.items())
                     yield pa.record_batch(
@@ -215,7 +160,7 @@ def _search(space_bc, items_bc, vocabulary: int, block: int, cosine: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, vocabulary=VOCABULARY, block=BLOCK, at_once=ITEMS_AT_ONCE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block=BLOCK, at_once=ITEMS_AT_ONCE) -> DataFrame:
     """(doc_id, item_id, overlap, answer_overlap) of documents that hold a benchmark item, or most of it in order.
 
     Null and blank texts and items have no words and match nothing. A document that holds an item at
@@ -227,17 +172,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id long, overlap double, answer_overlap double"
     known = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
-    pieces, piece, space = [], [], None
+    pieces, piece = [], []
 
     def search():
-        nonlocal space
-        if space is None:
-            space = fit(docs, piece, vocabulary, block=block)
-        space_bc, items_bc = spark.sparkContext.broadcast(space), spark.sparkContext.broadcast(list(piece))
-        pieces.append(docs.mapInArrow(_search(space_bc, items_bc, vocabulary, block, cosine), schema))
+        items_bc = spark.sparkContext.broadcast(list(piece))
+        pieces.append(docs.mapInArrow(_search(items_bc, block), schema))
 
     for r in known.toLocalIterator():
-        item = passages(r["item_id"], r["text"].encode(), vocabulary, block)
+        item = item_of(r["item_id"], r["text"].encode())
         if item["words"]:
             piece.append(item)
         if len(piece) == at_once:

@@ -134,6 +134,38 @@ def test_op3_finds_all_and_leaves_the_clean(spark, odd):
     assert {(r.doc_id, r.item_id) for r in lsa.contaminated(frame(spark, rows), bench, at_once=7).collect()} == want
 
 
+def all_windows(rows, items):
+    """(doc_id, item_id) of the hits among all windows of all documents."""
+    out, known = set(), [lsa.item_of(i, t.encode()) for i, t in items]
+    for i, t in rows:
+        w = lsa.normal([t.encode()])[0].split()
+        for x in known:
+            n = len(x["words"])
+            if any(lsa.verdict(x, w[max(0, s - n) : s + 2 * lsa.BLOCK + n])[0] for s in range(0, len(w), lsa.BLOCK)):
+                out.add((i, x["item_id"]))
+    return out
+
+
+def test_op3_matches_all_windows_for_hundreds_of_items(spark):
+    rng = random.Random(33)
+    # Words of one alphabet each 60 items, so that pieces of 60 items share no words.
+    kinds = [["".join(rng.choices(a, k=rng.randint(2, 7))) for _ in range(700)] for a in ("abcdef", "ghijkl", "mnopqr", "stuvwx", "yzabgh")]
+    prose = lambda k, n: " ".join(rng.choices(kinds[k], [1 / (j + 3) for j in range(700)], k=n))
+    items = [(i, prose(i // 60, rng.randint(15, 59)) + ".") for i in range(300)]
+    rows, planted = [], set()
+    for i, (k, t) in enumerate(items):
+        w = t.rstrip(".").split()
+        for j in rng.sample(range(len(w)), (0, len(w) // 10, len(w) // 4)[i % 3]):
+            w[j] = "changed"
+        rows.append((i, f"{prose(k // 60, rng.randint(0, 120))} {' '.join(w)} {prose(k // 60, rng.randint(0, 120))}"))
+        planted.add((i, k))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = all_windows(rows, items)
+    assert want >= planted
+    got = {(r.doc_id, r.item_id) for r in lsa.contaminated(frame(spark, rows), bench).collect()}
+    assert got == want
+
+
 def test_common_subsequence():
     assert lsa.common_subsequence(list("abcbdab"), list("bdcaba")) == 4
     assert lsa.common_subsequence([], list("ab")) == 0 == lsa.common_subsequence(list("ab"), [])
