@@ -166,6 +166,17 @@ def test_op3_matches_all_windows_for_hundreds_of_items(spark):
     assert got == want
 
 
+def test_op3_finds_items_of_every_piece(spark):
+    rng = random.Random(34)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    items = [(i, " ".join(word() for _ in range(rng.randint(15, 59)))) for i in range(60)]
+    rows = [(i, f"{text(40, rng)} {t} {text(rng.randint(0, 90), rng)}") for i, t in items]
+    rows += [(100 + i, " ".join(rng.choices("qrstuvwxyz", k=20_000))) for i in range(150)]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.item_id) for r in lsa.contaminated(frame(spark, rows), bench, at_once=20).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
 def test_common_subsequence():
     assert lsa.common_subsequence(list("abcbdab"), list("bdcaba")) == 4
     assert lsa.common_subsequence([], list("ab")) == 0 == lsa.common_subsequence(list("ab"), [])
