@@ -190,8 +190,8 @@ def cand_jw_block(spark, d):
 
 @query(None)
 def cand_jw_block_docs(spark, d):
-    """Spelling variants among all tokens of ten documents or more, at any script."""
-    return C.spelling_variants(doc_vocabulary(spark, d), least_frequency=10)
+    """Spelling variants among all tokens of two documents or more, at any script."""
+    return C.spelling_variants(doc_vocabulary(spark, d))
 
 
 def acronym_vocabulary(spark, d) -> DataFrame:
