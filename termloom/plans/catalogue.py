@@ -245,7 +245,7 @@ def malformed_flags(spark, d):
 
 @query(None)
 def malformed_nearest(spark, d):
-    return C.malformed_nearest(doc_vocabulary(spark, d), pool=300)
+    return C.malformed_nearest(doc_vocabulary(spark, d))
 
 
 @query(f"""with {PVOC} select a.keyword as keyword_a, b.keyword as keyword_b, round(jaro_winkler_similarity(a.norm, b.norm), 9) as score,

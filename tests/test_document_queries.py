@@ -34,3 +34,18 @@ def test_spelling_variants_of_all_tokens_of_two_documents(spark, corpus):
     got = catalogue.cand_jw_block_docs(spark, d).collect()
     assert {(r.keyword_a, r.keyword_b, r.similarity_score) for r in got} == want and len(got) == len(want)
     assert any("abcdefz" in x for x in want)
+
+
+def test_nearest_of_malformed_among_all_good_tokens(spark, corpus):
+    d, seen = corpus
+    ill = {w for w in seen if len(w) < 3 or re.search(r"[^\w\s]{3,}", w)}
+    good = [w for w, n in seen.items() if n >= 2 and w not in ill]
+    head = sorted(good, key=lambda w: (-seen[w], w))[:300]
+    want = set()
+    for w in (x for x in ill if len(x) >= 2):
+        pool = [g for g in good if g.lower()[:2] == w.lower()[:2]] or head
+        s, g = min((-jaro_winkler_pair(w.lower(), g.lower()), g) for g in pool)
+        if -s > 0.7:
+            want.add((min(w, g), max(w, g), round(-s, 4)))
+    got = {(r.keyword_a, r.keyword_b, r.similarity_score) for r in catalogue.malformed_nearest(spark, d).collect()}
+    assert got == want and ("Abcdefx", "abcdef!!!") in {x[:2] for x in want}
