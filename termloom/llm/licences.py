@@ -79,10 +79,14 @@ class Notices:
         found = []
         for i, windows in spans.items():
             label, _, length, pattern = self.notices[i]
-            for a, b in windows:
-                for m in pattern.finditer(padded, a, b):
+            while windows:
+                a, b = windows.pop()
+                m = pattern.search(padded, a, b)
+                if m:
+                    # The best match of a window; worse ones may stand before it and after it.
+                    windows += [[m.end(), b], [a, m.start()]]
                     found.append((label, m.start(), m.end(), sum(m.fuzzy_counts), length))
-        return found
+        return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
 def base_places(padded: bytes) -> list:

@@ -330,6 +330,14 @@ def test_pigeonhole_finds_every_bounded_error():
             assert label in {x[0] for x in known.find(f" aa bb {''.join(s)} cc dd ")}
 
 
+def test_op7_adjacent_notices_with_different_errors():
+    notices = licences.Notices()
+    exact, one, two = (f"released under the {x} license" for x in ("mit", "mat", "mab"))
+    for parts in ((one, exact), (exact, one), (two, one, exact), (one, exact, two)):
+        got = [(a, e) for x, a, _, e, _ in notices.find(f" {' '.join(parts)} ") if x == "mit"]
+        assert got == [(1 + i * (len(exact) + 1), (exact, one, two).index(p)) for i, p in enumerate(parts)]
+
+
 # --- 8 ------------------------------------------------------------------------------------------------
 
 
