@@ -34,6 +34,8 @@ SUBSEQUENCE, WITH_ANSWER, ANSWER = 0.75, 0.6, 0.6
 SHORT = 8
 #: Items and words of a piece at most (a longer item is a piece of its own), and items of one pass over the corpus.
 PIECE_ITEMS, PIECE_WORDS, ITEMS_AT_ONCE = 128, 8192, 1024
+#: Part of the least mass that an item's lightest words make up, which are taken to stand in any window.
+GIVEN = 0.6
 #: Windows that are compared at once, and distinct words that a counting task holds back.
 WINDOWS_AT_ONCE, HELD = 4096, 1 << 20
 
@@ -162,25 +164,39 @@ def least_mass(weight: np.ndarray, times: np.ndarray, n: int) -> float:
     return float((held * weight[order]).sum())
 
 
+def taken_as_held(item: np.ndarray, word: np.ndarray, mass: np.ndarray, weight: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which words a search need not look for, as any window may be taken to hold them: words that are light
+    enough in all items that have them, GIVEN of an item's need together. item, word: of each entry."""
+    order = np.lexsort((weight[word], item))
+    upto = np.cumsum(mass[order])
+    start = np.flatnonzero(np.concatenate(([True], np.diff(item[order]) != 0)))
+    upto -= np.repeat(upto[start] - mass[order][start], np.diff(np.append(start, len(order))))
+    light = np.empty(len(order), np.bool_)
+    light[order] = upto <= GIVEN * need[item[order]]
+    return np.bincount(word, ~light) == 0
+
+
 def _fitted(rank: int):
     def run(rows: pa.Table) -> pa.Table:
-        item, word = rows.column("no").to_numpy(), rows.column("word").to_numpy().view(np.uint64)
         times, weight, n = (rows.column(c).to_numpy() for c in ("times", "weight", "n"))
-        numbers, i = np.unique(item, return_inverse=True)
-        words, j = np.unique(word, return_inverse=True)
+        numbers, i = np.unique(rows.column("no").to_numpy(), return_inverse=True)
+        words, j = np.unique(rows.column("word").to_numpy().view(np.uint64), return_inverse=True)
+        each = np.zeros(len(words))
+        each[j] = weight
+        need = np.array([least_mass(weight[i == k], times[i == k], int(n[i == k][0])) for k in range(len(numbers))])
+        held = taken_as_held(i, j, times * weight, each, need)
+        need -= np.bincount(i, times * weight * held[j], len(numbers))
         a = np.zeros((len(numbers), len(words)))
         a[i, j] = times * np.sqrt(weight)
+        a, words, each = a[:, ~held], words[~held], each[~held]
         basis = randomised_svd(a, rank, int(numbers[0]))
         at = a @ basis
         rest = np.sqrt(np.maximum((a**2).sum(1) - (at**2).sum(1), 0))
-        need = [least_mass(weight[i == k], times[i == k], int(n[i == k][0])) for k in range(len(numbers))]
-        each = np.zeros(len(words))
-        each[j] = weight
         return pa.table({
             "piece": [rows.column("piece")[0].as_py()], "longest": pa.array([int(n.max())], pa.int64()),
             "numbers": pa.array([numbers.tolist()], pa.list_(pa.int64())), "words": [words.tobytes()], "weights": [each.astype(np.float32).tobytes()],
             "basis": [(basis * np.sqrt(each)[:, None]).astype(np.float32).tobytes()], "at": [at.astype(np.float32).tobytes()],
-            "rest": [rest.astype(np.float32).tobytes()], "need": [np.array(need, np.float32).tobytes()],
+            "rest": [rest.astype(np.float32).tobytes()], "need": [need.astype(np.float32).tobytes()],
         })
 
     return run
@@ -204,8 +220,9 @@ def spaces(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, piece_item
 
     seen = docs.select("text").mapInArrow(_frequencies(block), "word long, n long").groupBy("word").agg(F.sum("n").alias("df"))
     rows = items.select("no", "piece", "n", F.explode(F.arrays_zip(F.col("hashes").alias("word"), F.col("times").alias("times"))).alias("e")).select("no", "piece", "n", "e.word", "e.times")
-    wanted = rows.select("word").distinct()
-    seen = materialise(seen.join(wanted, "word", "left_semi").unionByName(seen.where("word is null")), "frequencies")
+    # The row without a word has the number of blocks.
+    wanted = rows.select(F.col("word").alias("_w")).unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("_w"))).distinct()
+    seen = materialise(seen.join(wanted, F.col("word").eqNullSafe(F.col("_w")), "left_semi"), "frequencies")
     blocks = F.lit(seen.where("word is null").agg(F.sum("df")).first()[0] or 0)
     weight = F.log(1 + blocks / (1 + F.coalesce("df", F.lit(0))))
     # A corpus without blocks has no hits; its weights only have to be above 0.
