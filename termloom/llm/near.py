@@ -3,11 +3,12 @@
 Documents with equal shingle sets form a class, and only classes are compared. Each bucket of a band names
 its most popular class (the one that meets most others over all bands) as centre, and pairs every other
 class with it; pairs are confirmed on the full sets. A centre may be unlike two classes that are like each
-other. Members x of a centre c are therefore known by what they add to c and how much they lack of it, and
-two members of different components are compared if they share an added shingle, or if one could be like
-the other without that: with r shingles of c lacking and a added, at best c - max(r) of them are common and
-c - min(r) + sum(a) are in the union. Both are exact bounds: no pair of a bucket that could be a link is
-left out, and random edits of one text, which share no additions, make no pairs.
+other. Members of a centre are therefore known by their edits, the shingles that they lack of it and those
+that they add. Two members of different components can only be a link if they share so many edits as follows
+from how far both are from the centre, one at least. Members share that many only if they meet in a prefix
+of their edits, the rarest first, as in joins of sets by overlap. Those that meet there, at places that leave
+enough edits behind, are compared too: no pair of a bucket that could be a link is left out, and members
+that only share what many share make no rows.
 """
 
 from __future__ import annotations
@@ -97,8 +98,9 @@ def _sign(words: int):
 
 
 def _compare(words: int, percent: int):
-    """Pairs (a, b, za, zb) as (a, b, linked, nb, lacks, adds, added): whether the full sets have
-    100 * intersection >= percent * union, the size of b, what a lacks of it, adds to it, and the added."""
+    """Pairs (a, b, za, zb) as (a, b, linked, nb, far, edits): whether the full sets have
+    100 * intersection >= percent * union; the size of b; 100 * (shingles of b that a lacks) + percent * (others
+    that a has), so that a and b are linked if far <= (100 - percent) * nb; and all these shingles."""
 
     def run(batches):
         unpack, sets = zstandard.ZstdDecompressor().decompress, OrderedDict()
@@ -112,54 +114,59 @@ def _compare(words: int, percent: int):
             return sets[key]
 
         for batch in batches:
-            linked, nb, lacks, added = [], [], [], []
+            linked, nb, far, edits = [], [], [], []
             for a, b, za, zb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "za", "zb")], strict=True):
                 x, y = of(a, za), of(b, zb)
-                new = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] != x]
-                both = len(x) - len(new)
-                linked.append(100 * both >= percent * (len(y) + len(new)))
+                edit = np.setxor1d(x, y, assume_unique=True)
+                lacks = (len(edit) - len(x) + len(y)) // 2
+                far.append(100 * lacks + percent * (len(edit) - lacks))
+                linked.append(far[-1] <= (100 - percent) * len(y))
                 nb.append(len(y))
-                lacks.append(len(y) - both)
-                added.append(new.view(np.int64))
+                edits.append(edit.view(np.int64))
             yield pa.record_batch(
                 [
-                    batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(nb, pa.int64()), pa.array(lacks, pa.int64()),
-                    pa.array([len(x) for x in added], pa.int64()), pa.array(added, pa.list_(pa.int64())),
+                    batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(nb, pa.int64()), pa.array(far, pa.int64()),
+                    pa.array(edits, pa.list_(pa.int64())),
                 ],
-                ["a", "b", "linked", "nb", "lacks", "adds", "added"],
+                ["a", "b", "linked", "nb", "far", "edits"],
             )
 
     return run
 
 
 def _open_pairs(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of one centre in different components that may be links, by the bounds above."""
-    m = stars.select("a", "b", "nb", "lacks", "adds", "added").join(roots.select(F.col("cid").alias("a"), "root"), "a", "left")
+    """(a, b): members of one centre in different components that may be links.
+
+    With n shingles of the centre, 100 * intersection >= percent * union of two members is the same as
+    (100 + percent) * (shared edits) >= far + far2 - (100 - percent) * n. Members linked with the centre are of
+    one component, so one of the two is not, its far is above (100 - percent) * n, and they share an edit.
+    """
+    m = stars.select("a", "b", "nb", "far", "edits").join(roots.select(F.col("node").alias("a"), "root"), "a", "left")
     m = m.withColumn("root", F.coalesce("root", "a"))
     several = m.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
     m = materialise(m.join(several, "b"), "members")
 
-    each = m.select("a", "b", "root", "nb", "lacks", "adds", F.explode("added").alias("s"))
-    mixed = each.groupBy("b", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b", "s")
-    each = each.join(mixed, ["b", "s"])
-    other = each.select("b", "s", F.col("a").alias("a2"), F.col("root").alias("root2"), F.col("lacks").alias("lacks2"), F.col("adds").alias("adds2"))
-    both = each.join(other, ["b", "s"]).where("a < a2 and root <> root2")
-    both = both.groupBy("a", "a2", "b", "nb", "lacks", "lacks2", "adds", "adds2").agg(F.count(F.lit(1)).alias("s"))
-
-    def may_link(s):
-        common = F.col("nb") - F.greatest("lacks", "lacks2") + s
-        union = F.col("nb") - F.least("lacks", "lacks2") + F.col("adds") + F.col("adds2") - s
-        return 100 * common >= percent * union
-
-    sharing = both.where(may_link(F.col("s"))).select("a", "a2")
-    # Members with the same counts behave alike: their kinds meet, not they. At least one of two kinds has to be smaller than the centre.
-    kinds = m.groupBy("b", "nb", "lacks", "adds").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    small = kinds.where("lacks > adds").select("b", F.col("lacks").alias("lacks2"), F.col("adds").alias("adds2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    fits = kinds.join(small, "b").where(may_link(F.lit(0))).where("lo <> hi or lo2 <> hi2 or lo <> lo2")
-    one = m.select("b", "lacks", "adds", "a", "root")
-    two = m.select("b", F.col("lacks").alias("lacks2"), F.col("adds").alias("adds2"), F.col("a").alias("a2"), F.col("root").alias("root2"))
-    alike = fits.select("b", "lacks", "adds", "lacks2", "adds2").join(one, ["b", "lacks", "adds"]).join(two, ["b", "lacks2", "adds2"]).where("root <> root2")
-    return sharing.unionByName(alike.select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("a2"))).distinct().withColumnRenamed("a2", "b")
+    slack = (100 - percent) * F.col("nb")
+    # The shared edits of a member with any other: more than far / (100 + percent) with one that is open; an open
+    # one's partner is at least percent times the shared edits from the centre itself.
+    least = F.when(F.col("far") > slack, F.greatest(F.lit(1), F.ceil((F.col("far") - slack) / 100))).otherwise(F.floor(F.col("far") / (100 + percent)) + 1)
+    each = m.select("a", "b", "root", "nb", "far", F.size("edits").alias("size"), least.alias("least"), F.explode("edits").alias("s"))
+    shared = each.groupBy("b", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
+    each = each.join(shared.where("lo <> hi").select("b", "s", "m"), ["b", "s"])
+    # Edits that members of other components do not have are the rarest of all, and no places to meet.
+    by = F.sort_array(F.collect_list(F.struct("m", "s")))
+    each = each.groupBy("a", "b", "root", "nb", "far", "size", "least").agg(by.alias("e"))
+    each = each.withColumn("own", F.col("size") - F.size("e")).select("*", F.posexplode("e").alias("k", "x"))
+    each = each.withColumn("after", F.col("size") - F.col("own") - F.col("k")).where("after >= least")
+    each = each.select("b", F.col("x.s").alias("s"), "a", "root", "nb", "far", "after")
+    each = materialise(each, "prefixes")
+    other = each.select("b", "s", *[F.col(c).alias(f"{c}2") for c in ("a", "root", "far", "after")])
+    need = F.col("far") + F.col("far2") - slack
+    may = (100 + percent) * F.least("after", "after2") >= need
+    pairs = each.join(other, ["b", "s"]).where((F.col("a") < F.col("a2")) & (F.col("root") != F.col("root2")) & may)
+    pairs = materialise(pairs.select("a", F.col("a2").alias("b")).distinct(), "open")
+    discard(m, each)
+    return pairs
 
 
 def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -198,20 +205,22 @@ def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     def compared(pairs: DataFrame) -> DataFrame:
         x = pairs.join(texts.select(F.col("tid").alias("a"), F.col("z").alias("za")), "a")
         x = x.join(texts.select(F.col("tid").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb")
-        schema = "a binary, b binary, linked boolean, nb long, lacks long, adds long, added array<long>"
+        schema = "a binary, b binary, linked boolean, nb long, far long, edits array<long>"
         return x.mapInArrow(_compare(words, percent), schema)
 
     stars = materialise(compared(first), "stars")
     links = stars.where("linked").select("a", "b")
-    roots = components(links, "a", "b").select(F.col("node").alias("cid"), "root")
-    more = compared(_open_pairs(stars, roots, percent)).where("linked").select("a", "b")
-    links = links.unionByName(materialise(more, "links"))
-
-    roots = components(links, "a", "b").select(F.col("node").alias("cid"), "root")
-    classes = classes.select("fp", "cid", "least").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    roots = components(links, "a", "b")
+    pairs = _open_pairs(stars, roots, percent)
+    more = materialise(compared(pairs).where("linked").select("a", "b"), "links")
+    discard(roots, pairs)
+
+    roots = components(links.unionByName(more), "a", "b")
+    classes0, classes = classes, classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    classes = classes.select("fp", "least", F.coalesce("root", "cid").alias("root"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialise(classes.join(ids, "root").select("fp", "component_id"), "component")
-    discard(first, rows, texts, stars)
+    discard(first, rows, texts, stars, more, roots, classes0)
     out = signed.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -222,16 +231,20 @@ def op6_near_dedup(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """docs with one document of each component: that of the smallest id, one row of it. Rows without an
-    id stay, as they can't be told apart."""
-    found = materialise(components_of(docs).where("doc_id is not null"), "kept")
-    mark = found.groupBy("doc_id").agg(F.max("kept").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("not _keep or _n > 1")
-    mark = materialise(mark.withColumnRenamed("doc_id", "_id"), "marks")
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"))
-    x = whole.join(mark, F.col("_d") == F.col("_id"), "left").where("_keep is null or _keep")
+    """docs with one row of each component: the smallest id that is not null (then the smallest hash of the text),
+    one of its rows. Rows are told apart by id and text, so rows without an id, or with an id that others have,
+    take part like any; texts without words are in no component and all stay. Repeated rows are one document;
+    an empty table stays empty; other columns are carried along, whatever their names."""
+    own = F.concat(F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n")), F.lit("|"), F.md5(F.coalesce("text", F.lit(""))))
+    key = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", own.alias("own"))
+    found = components_of(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0")
+    mark = found.groupBy("doc_id.own").agg(F.max("kept").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("not _keep or _n > 1")
+    mark = materialise(mark.withColumnRenamed("own", "_own"), "marks")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_k"))
+    x = whole.join(mark, F.col("_k") == F.col("_own"), "left").where("_keep is null or _keep")
     if mark.where("_keep").isEmpty():
         return x.select("_row.*")
-    once = x.where("_n is null").unionByName(x.where("_n is not null").dropDuplicates(["_d"]))
+    once = x.where("_n is null").unionByName(x.where("_n is not null").dropDuplicates(["_k"]))
     return once.select("_row.*")
 
 

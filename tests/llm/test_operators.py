@@ -248,7 +248,7 @@ def test_op5_round_trip_and_stitching(spark, odd, tmp_path):
 # --- 6 ------------------------------------------------------------------------------------------------
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = []
     for _, t in rows:
         w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -262,7 +262,7 @@ def brute_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for k, (i, _) in enumerate(rows):
@@ -306,6 +306,30 @@ def test_op6_matches_brute_force(spark, odd):
     assert {i for i in ids if i is not None} == want and all(n == 1 for i, n in ids.items() if i is not None)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_op6_members_that_their_centre_does_not_link(spark, percent):
+    """Families whose members are mostly too far from any one of them, but link in chains."""
+    rng, rows = random.Random(percent), []
+    for f in range(4):
+        rows += family(rng, 60, 1000 * (f + 1), 14)
+    for i in range(40):  # a passage that half of a family adds, and cuts in the same place
+        w = rows[i][1].split()
+        rows.append((9000 + i, " ".join(w[: len(w) // 2] + rows[100][1].split()[: 10 + i % 7] + w[len(w) // 2 + i % 5 :])))
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near.components_of(frame(spark, rows), percent=percent).collect())
+    assert found == brute_components(rows, percent)
+
+
+def test_op6_stage_judges_rows(spark):
+    rng = random.Random(61)
+    a, b = text(90, rng), text(90, rng)
+    rows = [(None, a), (None, a), (None, a + " more"), (5, b), (5, b), (5, a), (4, b), (None, ""), (None, ""), (7, None), (8, text(40, rng))]
+    docs = frame(spark, rows)
+    out = Counter((r.doc_id, r.text) for r in near.stage(spark, docs, None).collect())
+    assert out == Counter([(5, a), (4, b), (None, ""), (None, ""), (7, None), rows[-1]])
+    only = near.stage(spark, docs.where("doc_id is null"), None).collect()
+    assert len([r for r in only if r.text]) == 1 and len(only) == 3
+
+
 # --- 7 ------------------------------------------------------------------------------------------------
 
 
