@@ -449,3 +449,36 @@ def test_op10_learns_from_its_rows_alone(spark, odd):
     assert 0 <= got[2].score < 0.5 and got[None].held_out is False and len(toxicity.score(df, model).collect()) == len(docs)
     assert toxicity.score(df.limit(0), toxicity.learn(df.limit(0), y)).count() == 0
     assert toxicity.score(df, toxicity.learn(df, y.limit(0))).where("predicted = 1").count() == 0
+
+
+def test_label_model_on_votes_of_known_accuracy():
+    import numpy as np
+
+    rng = np.random.default_rng(10)
+    n, accuracy, cover = 6000, np.array([0.95, 0.9, 0.85, 0.8, 0.75, 0.7]), np.array([0.6, 0.8, 0.9, 0.7, 0.9, 0.8])
+    y = np.where(rng.random(n) < 0.3, 1, -1)
+    right = rng.random((n, 6)) < accuracy
+    votes = np.where(rng.random((n, 6)) < cover, np.where(right, y[:, None], -y[:, None]), 0)
+    # Brute force: what the true accuracies make of each row.
+    logit = np.log(0.3 / 0.7) + votes @ np.log(accuracy / (1 - accuracy))
+    want = 1 / (1 + np.exp(-logit))
+    q, found, together, weight = toxicity.label_model(votes, 0.3)
+    assert np.abs(found - accuracy).max() < 0.04 and np.abs(q - want).mean() < 0.03
+    assert ((q > 0.5) == (y > 0)).mean() > 0.93 and (weight > 0.8).all()
+    # Copies of the worst voter are found by their correlation, and have about one voter's weight together.
+    copies = np.column_stack([votes, *[votes[:, 5]] * 4])
+    q2, found, together, weight = toxicity.label_model(copies, 0.3)
+    assert together[5, 6:].min() > 0.9 and weight[[5, 6, 7, 8, 9]].sum() < 1.3
+    assert ((q2 > 0.5) == (y > 0)).mean() > 0.9
+
+
+def test_op10_reruns_agree_and_hot_ids_are_one(spark):
+    rng = random.Random(101)
+    rows = [(i % 60, text(20, rng) + (" stupid" if i % 3 == 0 else "")) for i in range(120)] + [(3, "same " * 8)] * 300 + [(None, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] * 2 + [(None, 1), (7, None)], "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    one = toxicity.learn(docs, labels)
+    two = toxicity.learn(docs.orderBy(docs.text.desc()).repartition(7), labels.repartition(5))
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all() and one[2] == two[2]
+    a = sorted((str(r.doc_id), r.score) for r in toxicity.score(docs, one).collect())
+    assert len(a) == len(rows) and all(0 <= s <= 1 for _, s in a)
