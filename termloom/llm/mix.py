@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Equal-token blocks are seats: the corpus size in blocks is dealt to sources by highest quotients
-target / (2k + 1), each source's seats to its shards by the same rule, and every shard takes that many
-of its blocks, whole rounds first and then a seeded run of blocks in a seeded order of its documents.
+target / (2k + 1), each source's seats to its shards by the same rule (through batches of shards, so that no window
+holds all shards of a large source), and every shard takes that many of its blocks, whole rounds first and
+then a seeded run of blocks in a seeded order of its documents. Only ids and sizes are counted and dealt.
 """
 
 from __future__ import annotations
@@ -11,15 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import discard, materialise, n_words, table
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SEED = "mix-1"
 #: A block has at most so many words, and at most this part of the corpus.
 BLOCK_WORDS, BLOCK_PARTS = 128, 4096
-#: A shard has about so many words, or this part of a large corpus: no window holds a whole source.
-SHARD_WORDS, SHARD_PARTS = 200_000, 20_000
+#: A shard has about so many words, and a batch so many shards: windows are bounded at any size of the corpus.
+SHARD_WORDS, BATCH = 200_000, 4096
+#: Sources up to which their table is sent to all executors; with more, rows meet it in a join on the source.
+FEW_SOURCES = 10_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most=MOST_REPEATS) -> DataFrame:
@@ -78,43 +81,40 @@ def _number(text) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def mix(
-    docs: DataFrame, weights=WEIGHTS, most=MOST_REPEATS, seed=SEED,
-    block_words=BLOCK_WORDS, shard_words=SHARD_WORDS,
-) -> DataFrame:
-    """docs' rows and columns with size, source_size, target and taken (words the mix takes, repeats
-    counted; at most `most` times the size). Columns of docs with these names are replaced.
+def _key(seed: str) -> F.Column:
+    """What deals a document to a shard and orders it there: rows without an id, or with one id, go by their text."""
+    return F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
 
-    Null or blank texts have size 0 and take nothing; a null source is a source of its own; null doc_ids
-    and repeated rows take part like others; an empty table gives no rows. Reruns agree: the order of
-    documents and the run of blocks depend on the seed, ids, sizes and sources only.
-    """
-    new = ("size", "source_size", "target", "taken")
-    row = F.struct(*[c for c in docs.columns if c not in new])
-    x = docs.select(row.alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
-    per = targets(x.select("source", "size"), weights, most)
+
+def _mixed(x: DataFrame, weights, most, seed, block_words, shard_words) -> DataFrame:
+    """x (_row, doc_id, source, size, key, copies) with source_size, target and taken, one row for each copy."""
+    per = targets(x.select("source", (F.col("size") * F.col("copies")).alias("size")), weights, most)
     block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("total") / BLOCK_PARTS))).cast("long")
     per = per.withColumn("block", block)
     per = per.withColumn("house", F.floor((2 * F.col("total") + F.col("block")) / (2 * F.col("block"))))
     per = apportion(per.withColumn("_all", F.lit(1)), ["_all"], "target", "house", "rank").withColumnRenamed("seats", "source_seats")
-    most_words = F.greatest(F.lit(shard_words), F.floor(F.col("total") / SHARD_PARTS))
-    per = per.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / most_words)))
-    per = per.select("source", "source_size", "target", "block", "rank", "n_shards", "source_seats")
-
-    per = per.withColumnRenamed("source", "_source")
-    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    x = x.join(per, x["source"].eqNullSafe(per["_source"])).drop("_source")
-    x = x.withColumn("shard", F.pmod(_number(key), F.col("n_shards"))).withColumn("h", F.md5(F.concat(key, F.lit("|order"))))
-    x = x.withColumn("block_seed", F.concat_ws("|", F.lit(seed), F.coalesce("source", F.lit("")), F.col("shard").cast("string")))
+    per = per.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))
+    per = per.select(F.col("source").alias("_source"), "source_size", "target", "block", "rank", "n_shards", "source_seats")
+    per = materialise(per, "sources")
+
+    x = x.join(F.broadcast(per) if per.count() <= FEW_SOURCES else per, x["source"].eqNullSafe(per["_source"])).drop("_source")
+    x = x.withColumn("shard", F.pmod(_number(F.col("key")), F.col("n_shards"))).withColumn("h", F.md5(F.concat("key", F.lit("|order"))))
 
     shards = x.groupBy("rank", "shard").agg(
-        F.sum("size").alias("shard_size"), F.first("source_seats").alias("source_seats")
+        F.sum(F.col("size") * F.col("copies")).alias("shard_size"), F.first("source_seats").alias("source_seats")
     )
-    shards = apportion(shards, ["rank"], "shard_size", "source_seats", "shard")
-    shards = shards.select(F.col("rank").alias("_r"), F.col("shard").alias("_s"), "shard_size", "seats")
-    x = x.join(shards, (x["rank"] == shards["_r"]) & (x["shard"] == shards["_s"])).drop("_r", "_s")
+    shards = materialise(shards.withColumn("batch", F.floor(F.col("shard") / BATCH)), "shards")
+    batches = shards.groupBy("rank", "batch").agg(F.sum("shard_size").alias("batch_size"), F.first("source_seats").alias("source_seats"))
+    batches = apportion(batches, ["rank"], "batch_size", "source_seats", "batch").select("rank", "batch", F.col("seats").alias("batch_seats"))
+    dealt = apportion(shards.drop("source_seats").join(batches, ["rank", "batch"]), ["rank", "batch"], "shard_size", "batch_seats", "shard")
+    dealt = materialise(dealt.select(F.col("rank").alias("_r"), F.col("shard").alias("_s"), "shard_size", "seats"), "seats")
+    discard(shards)
+    x = x.join(dealt, (x["rank"] == dealt["_r"]) & (x["shard"] == dealt["_s"])).drop("_r", "_s")
+    x = x.withColumn("block_seed", F.concat_ws("|", F.lit(seed), F.coalesce("source", F.lit("")), F.col("shard").cast("string")))
     order = W.partitionBy("rank", "shard").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    x = x.withColumn("to", F.sum("size").over(order)).withColumn("from", F.col("to") - F.col("size"))
+    x = x.withColumn("to", F.sum(F.col("size") * F.col("copies")).over(order))
+    x = x.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    x = x.withColumn("to", F.col("to") - (F.col("copies") - F.col("_copy")) * F.col("size")).withColumn("from", F.col("to") - F.col("size"))
     x = (
         x.withColumn("blocks", F.greatest(F.ceil(F.col("shard_size") / F.col("block")), F.lit(1)))
         .withColumn("seats", F.least("seats", F.lit(most) * F.col("blocks")))
@@ -129,13 +129,43 @@ def mix(
     return x.select("_row.*", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mix(
+    docs: DataFrame, weights=WEIGHTS, most=MOST_REPEATS, seed=SEED,
+    block_words=BLOCK_WORDS, shard_words=SHARD_WORDS,
+) -> DataFrame:
+    """docs' rows and columns with size, source_size, target and taken (words the mix takes, repeats
+    counted; at most `most` times the size). Columns of docs with these names are replaced.
+
+    Null or blank texts have size 0 and take nothing; a null source is a source of its own; null doc_ids
+    and repeated rows take part like others; an empty table gives no rows; a very long text is many blocks of its
+    shard. Reruns agree: the order of documents and the run of blocks depend on the seed, ids, texts, sizes and
+    sources only. Rows meet once, in the windows of their shards; sizes() does without their texts.
+    """
+    new = ("size", "source_size", "target", "taken")
+    row = F.struct(*[c for c in docs.columns if c not in new])
+    x = docs.select(row.alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"), _key(seed).alias("key"), F.lit(1).cast("long").alias("copies"))
+    return _mixed(x, weights, most, seed, block_words, shard_words)
+
+
+def sizes(
+    docs: DataFrame, weights=WEIGHTS, most=MOST_REPEATS, seed=SEED,
+    block_words=BLOCK_WORDS, shard_words=SHARD_WORDS,
+) -> DataFrame:
+    """mix() as (doc_id, size, source_size, target, taken) alone: equal rows are counted before they meet, and no
+    text moves."""
+    x = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _key(seed).alias("key"))
+    x = materialise(x.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    x = x.withColumn("_row", F.struct("doc_id"))
+    return _mixed(x, weights, most, seed, block_words, shard_words)
+
+
 def op8_mix_sources(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """sizes() of all documents."""
+    return sizes(table(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs, sf_dir):
-    """The documents of which the mix takes words, with how many it takes."""
+    """The documents of which the mix takes words, with how many it takes: mix() says what of odd rows."""
     return mix(docs).where("taken > 0")
 
 
@@ -154,7 +184,7 @@ def _apportion_sql(items: str, group: str, weight: str, house: str, order: str,
 
 
 ORACLE = rf"""
-with x as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+with x as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(text, '')) as m from documents),
 s0 as (select source, sum(size)::bigint as source_size from x group by source),
 s1 as (select *, row_number() over (order by source asc nulls last) - 1 as rank from s0),
 s2 as (select *, ([5, 2, 1])[(rank % 3 + 1)::int]::bigint as w, 3 * source_size as cap from s1),
@@ -170,11 +200,14 @@ s6 as (select *, greatest(1, least({BLOCK_WORDS}, total // {BLOCK_PARTS}))::bigi
 s7 as (select *, ((2 * total + block) // (2 * block))::bigint as house from s6),
 s8 as (select * from {_apportion_sql("s7", "g", "target", "house", "rank", "g, rank, source, source_size, total, target, block")}),
 s9 as (select source, source_size, target, block, rank, seats as source_seats,
-   greatest(1, ceil(source_size / greatest({SHARD_WORDS}, total // {SHARD_PARTS})::double))::bigint as n_shards from s8),
-d0 as (select x.doc_id, x.size, s9.*, '{SEED}|' || coalesce(doc_id::varchar, '') as key from x join s9 on x.source is not distinct from s9.source),
+   greatest(1, ceil(source_size / {SHARD_WORDS}::double))::bigint as n_shards from s8),
+d0 as (select x.doc_id, x.size, s9.*, '{SEED}|' || coalesce(doc_id::varchar, '') || '|' || m as key from x join s9 on x.source is not distinct from s9.source),
 d1 as (select *, ('0x' || substr(md5(key), 1, 8))::bigint % n_shards as shard, md5(key || '|order') as h from d0),
-h0 as (select rank, shard, sum(size)::bigint as shard_size, any_value(source_seats) as source_seats from d1 group by rank, shard),
-h1 as (select * from {_apportion_sql("h0", "rank", "shard_size", "source_seats", "shard", "rank, shard, shard_size")}),
+h0 as (select rank, shard // {BATCH} as batch, shard, sum(size)::bigint as shard_size, any_value(source_seats) as source_seats from d1 group by rank, shard),
+b0 as (select rank, batch, sum(shard_size)::bigint as batch_size, any_value(source_seats) as source_seats from h0 group by rank, batch),
+b1 as (select rank, batch, seats as batch_seats from {_apportion_sql("b0", "rank", "batch_size", "source_seats", "batch", "rank, batch, batch_size")}),
+h2 as (select h0.rank, h0.batch, h0.shard, h0.shard_size, b1.batch_seats from h0 join b1 on h0.rank = b1.rank and h0.batch = b1.batch),
+h1 as (select * from {_apportion_sql("h2", "rank, batch", "shard_size", "batch_seats", "shard", "rank, batch, shard, shard_size")}),
 d2 as (select d1.*, h1.shard_size, h1.seats as seats0 from d1 join h1 on d1.rank = h1.rank and d1.shard = h1.shard),
 d3 as (select *, (sum(size) over (partition by rank, shard order by h, doc_id, size rows between unbounded preceding and current row))::bigint as upto,
    greatest(ceil(shard_size / block::double), 1)::bigint as blocks,

@@ -30,7 +30,9 @@ FEATURES = {
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without its text, with the columns COUNTS. Null texts count as empty.
+    """docs without its text, with the columns COUNTS (columns of docs with these names are replaced). Null and empty
+    texts count 0 throughout; rows are independent, so null ids, ties and repeated rows need no rule, and an empty
+    table stays empty. Very long texts are counted whole, in one row.
 
     n_repeat_words counts the words in 3-word windows that a text holds twice or more. Only texts with
     fewer distinct windows than windows go further: there each window becomes one long, its hash above and
@@ -187,6 +189,7 @@ def verdict(rules: list) -> Column:
 
 
 def op2_quality(spark, sf_dir):
+    """Per row of documents: its counts, base_failed, kept and rejected_by, the number of the rule that rejects it."""
     measured = materialise(measure(table(spark, sf_dir, "documents").select("doc_id", "text")), "measured")
     rules = learn(measured, table(spark, sf_dir, "labels"))
     return measured.select(
@@ -197,12 +200,10 @@ def op2_quality(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Documents that neither the base rules nor the learned list reject, row by row."""
-    measured = materialise(measure(docs.select("doc_id", "text")), "measured")
-    rules = learn(measured, table(spark, sf_dir, "labels"))
-    discard(measured)
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    # A filter on these columns would be pushed below them, each written out in full wherever it is used;
-    # it stays above a column that is not deterministic, and rand() >= 0 holds for every row.
-    x = measure(whole, "_text").withColumn("_hold", F.rand(0))
-    return x.where(~base_failed() & verdict(rules).isNull() & (F.col("_hold") >= 0)).select("_row.*")
+    """Documents that neither the base rules nor the learned list reject, row by row: null, empty and short texts
+    go, whatever their id; repeated rows stay or go together; no rows give no rows; other columns are carried along,
+    whatever their names. Rows are measured once and written with their counts; the list is learned from there."""
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    measured = materialise(measure(whole), "measured")
+    rules = learn(measured.drop("_row"), table(spark, sf_dir, "labels"))
+    return measured.where(~base_failed() & verdict(rules).isNull()).select("_row.*")
