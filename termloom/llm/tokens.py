@@ -33,30 +33,42 @@ BLOCK_BYTES = 4 << 20
 WAVES = 4
 
 
-def encoder(vocabulary: str, pattern: str = PATTERN):
-    import tiktoken
+def _place(uri: str) -> tuple:
+    return pyarrow.fs.FileSystem.from_uri(uri)
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(vocabulary), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+def _bytes(path: str) -> bytes:
+    """A file's bytes, given a local path or the URI of a file system that Arrow knows."""
+    if "://" not in path:
+        with open(path, "rb") as f:
+            return f.read()
+    fs, at = _place(path)
+    with fs.open_input_file(at) as f:
+        return f.read()
 
-def _place(uri: str) -> tuple:
-    return pyarrow.fs.FileSystem.from_uri(uri)
+
+def encoder(vocabulary: str | bytes, pattern: str = PATTERN):
+    """The tokenizer of a vocabulary file, given its path or its bytes."""
+    import tiktoken
+
+    lines = (vocabulary if isinstance(vocabulary, bytes) else _bytes(vocabulary)).splitlines()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _writer(folder: str, vocabulary: str, end: int, width: int):
+def _writer(folder: str, vocabulary_bc, end: int, width: int):
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def run(batches):
-        encode, task = encoder(vocabulary).encode_ordinary, TaskContext.get()
+        encode, task = encoder(vocabulary_bc.value).encode_ordinary, TaskContext.get()
         name = f"{folder}/{task.partitionId():06d}.{task.taskAttemptId()}.bin"
         fs, path = _place(name)
         fs.create_dir(os.path.dirname(path), recursive=True)
-        n, size = 0, 0
+        n, size, no_id = 0, 0, None
         out = fs.open_output_stream(path)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
+            no_id = pa.nulls(1, ids.type)
             for text in texts.to_pylist():
                 raw = np.array([*encode(text or ""), end], kind).tobytes()
                 out.write(raw)
@@ -67,22 +79,24 @@ def _writer(folder: str, vocabulary: str, end: int, width: int):
             )
             n += len(ids)
         out.close()
-        yield pa.record_batch(
-            [pa.array([name], pa.string()), pa.array([None], pa.int64()), pa.nulls(1, id_type), pa.array([size], pa.int64())],
-            ["file", "ordinal", "doc_id", "bytes"],
-        )
+        if no_id is not None:  # else the task had no rows, and nothing names its empty file
+            yield pa.record_batch(
+                [pa.array([name], pa.string()), pa.array([None], pa.int64()), no_id, pa.array([size], pa.int64())],
+                ["file", "ordinal", "doc_id", "bytes"],
+            )
 
-    id_type = pa.int64()
     return run
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int = END, width: int = WIDTH) -> DataFrame:
     """Writes docs (doc_id, text) as flat token files, one per task, in a shared folder. Returns, written to
     scratch, (file, ordinal, doc_id) of every document and, with null ordinal, (file, bytes) of every file.
-    A task that runs again writes a file of its own; only files named here count."""
-    schema = "file string, ordinal long, doc_id long, bytes long"
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return materialise(docs.mapInArrow(_writer(folder, vocabulary, end, width), schema), "manifest")
+    A task that runs again writes a file of its own; only files named here count. The vocabulary file is read on the
+    driver and sent to the executors; ids may be of any type."""
+    docs = docs.select("doc_id", "text")
+    schema = f"file string, ordinal long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, bytes long"
+    bc = docs.sparkSession.sparkContext.broadcast(_bytes(vocabulary))
+    return materialise(docs.mapInArrow(_writer(folder, bc, end, width), schema), "manifest")
 
 
 def _scanner(end: int, width: int):
@@ -130,7 +144,8 @@ def count_tokens(files: DataFrame, end: int = END, width: int = WIDTH, block_byt
         .withColumn("from", F.coalesce(F.max("last").over(before), F.lit(-1)))
         .withColumn("final", F.lead("start").over(order).isNull())
     )
-    x = seen.join(edge.select("file", "start", "base", "from", "final"), ["file", "start"])
+    # Files' edges grow with the corpus: never a broadcast, whatever their compressed size.
+    x = seen.join(edge.select("file", "start", "base", "from", "final").hint("merge"), ["file", "start"])
     length = lambda e, i: e - F.when(i == 0, F.col("from")).otherwise(F.get("ends", i - 1)) - 1
     docs = F.transform("ends", lambda e, i: F.struct((F.col("base") + i).alias("ordinal"), length(e, i).alias("n_tokens"), F.lit(True).alias("complete")))
     rest = F.col("start") + F.col("n") - 1 - F.coalesce(F.try_element_at("ends", F.lit(-1)), F.col("from"))
@@ -149,8 +164,9 @@ def _remove(spark: SparkSession, folder: str) -> None:
 def document_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, waves: int = WAVES) -> DataFrame:
     """(doc_id, n_tokens) per row of docs: tokenised to flat files, counted by their separators alone.
 
-    Null and empty texts have 0 tokens; a text that spells a special token is ordinary text; null ids and
-    repeated rows give a row each; an empty table gives none. Each wave's files go once it is counted.
+    Null and empty texts have 0 tokens; a text that spells a special token is ordinary text; null ids, ids of any
+    type and repeated rows give a row each; an empty table gives none; other columns are left out. A very long
+    text is one document of as many blocks as its tokens fill. Each wave's files go once it is counted.
     """
     spark, parts = docs.sparkSession, []
     docs = docs.select("doc_id", "text")
@@ -159,7 +175,7 @@ def document_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, waves: int =
         folder = scratch_path(spark, "tokens")
         manifest = write_tokens(docs.where(wave == i), folder, vocabulary)
         counted = count_tokens(manifest.where("ordinal is null").select("file", "bytes"))
-        found = manifest.where("ordinal is not null").join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")
+        found = manifest.where("ordinal is not null").join(counted.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
         parts.append(materialise(found, "counts"))
         _remove(spark, folder)
         discard(manifest)
