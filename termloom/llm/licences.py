@@ -8,9 +8,11 @@ bounded-error matching checks the text around each piece and gives span and erro
 from __future__ import annotations
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices, table
 
@@ -34,6 +36,28 @@ NOTICES = (
     ("this work is in the public domain", "public-domain"),
     ("all rights reserved", "reserved"),
     ("no part of this publication may be reproduced", "reserved"),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("do what the fuck you want to public license", "wtfpl"),
+    ("spdx license identifier mit", "mit"),
+    ("spdx license identifier apache 2 0", "apache-2.0"),
+    ("spdx license identifier bsd", "bsd"),
+    ("spdx license identifier gpl", "gpl"),
+    ("spdx license identifier lgpl", "lgpl"),
+    ("spdx license identifier mpl", "mpl"),
+    ("creative commons attribution sharealike", "cc-by-sa"),
+    ("creative commons attribution noncommercial", "cc-by-nc"),
+    ("creative commons attribution noderivatives", "cc-by-nd"),
+    ("licensed under cc by sa", "cc-by-sa"),
+    ("licensed under cc by nc", "cc-by-nc"),
+    ("boost software license", "boost"),
+    ("european union public licence", "eupl"),
+    ("common development and distribution license", "cddl"),
+    ("microsoft public license", "ms-pl"),
+    ("server side public license", "sspl"),
+    ("sil open font license", "ofl"),
+    ("gnu free documentation license", "gfdl"),
 )
 #: One error in so many characters of a notice.
 CHARS_PER_ERROR = 10
@@ -89,6 +113,12 @@ class Notices:
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
+def word_numbers(padded: bytes, at: list) -> list:
+    """The number of the word that starts after the blank at each place."""
+    blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 0x20)
+    return np.searchsorted(blanks, at).tolist()
+
+
 def base_places(padded: bytes) -> list:
     """(label, number of the first word) of every place of a base phrase."""
     out = []
@@ -96,9 +126,9 @@ def base_places(padded: bytes) -> list:
         whole = b" " + phrase.encode() + b" "
         at = padded.find(whole)
         while at >= 0:
-            out.append((label, padded.count(b" ", 0, at)))
+            out.append((label, at))
             at = padded.find(whole, at + 1)
-    return out
+    return list(zip([label for label, _ in out], word_numbers(padded, [at for _, at in out]), strict=True)) if out else []
 
 
 SPAN = pa.struct([("label", pa.string()), ("word", pa.int64()), ("n_words", pa.int64()), ("errors", pa.int64())])
@@ -112,7 +142,10 @@ def _row(text: bytes, notices: Notices) -> tuple:
     base = base_places(padded)
     starts, labels = [w for _, w in base], {x for x, _ in base}
     found = notices.find(s := padded.decode("utf-8", "replace"))
-    spans = [(x, s.count(" ", 0, a) - 1, s[a:b].count(" ") + 1, e) for x, a, b, e, _ in found]
+    # Places in characters, of which each blank is one: the blanks before give the word, in bytes as in characters.
+    blanks = np.array([i for i, c in enumerate(s) if c == " "]) if found else ()
+    number = np.searchsorted(blanks, [a for _, a, *_ in found]).tolist() if found else []
+    spans = [(x, w - 1, s[a:b].count(" ") + 1, e) for (x, a, b, e, _), w in zip(found, number, strict=True)]
     score = 1.0 if base else max((1 - e / n for *_, e, n in found), default=0.0)
     joined = lambda xs: ",".join(sorted(xs))
     return (
@@ -142,7 +175,8 @@ def scan_licences(docs: DataFrame, notices=NOTICES) -> DataFrame:
     spans (notices: label, first word, words, errors).
 
     Null and empty texts have no words, places or labels and score 0. Rows are independent: repeated rows,
-    null ids and ties need no rule. Other columns are left out.
+    null ids and ties need no rule; an empty table gives no rows. Very long texts are searched whole, only around
+    the seeds that one pass finds. Other columns are left out.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,word:long,n_words:long,errors:long>>"
@@ -150,4 +184,6 @@ def scan_licences(docs: DataFrame, notices=NOTICES) -> DataFrame:
 
 
 def op7_licence_scan(spark, sf_dir):
-    return scan_licences(table(spark, sf_dir, "documents")).drop("spans")
+    """scan_licences() of all documents; spans as label:word:words:errors, in order, joined by commas."""
+    told = lambda s: F.concat_ws(":", s["label"], *(s[c].cast("string") for c in ("word", "n_words", "errors")))
+    return scan_licences(table(spark, sf_dir, "documents")).withColumn("spans", F.array_join(F.transform("spans", told), ","))
