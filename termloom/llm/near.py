@@ -198,9 +198,10 @@ def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     first = rows.join(centre, "bucket").where(F.col("cid") != F.col("c.cid"))
     first = materialise(first.select(F.col("cid").alias("a"), F.col("c.cid").alias("b")).distinct(), "pairs")
 
-    texts = squeezed(docs.select(tid, "text"))
+    # One row for each text before texts meet: copies of a hot text end in the tasks that read them.
     wanted = rows.select(F.col("cid").alias("tid")).distinct()
-    texts = materialise(texts.join(wanted, "tid").groupBy("tid").agg(F.first("z").alias("z")), "texts")
+    texts = squeezed(docs.select(tid, "text")).groupBy("tid").agg(F.first("z").alias("z"))
+    texts = materialise(texts.join(wanted, "tid", "left_semi"), "texts")
 
     def compared(pairs: DataFrame) -> DataFrame:
         x = pairs.join(texts.select(F.col("tid").alias("a"), F.col("z").alias("za")), "a")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, table, words
 
 SYMBOLS = "[#*$%&|<>]"
+#: Labelled ids that the list is learned from at most, in the order of a hash.
+LABELLED = 50_000
 #: Base rules of the contract.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_distinct")
@@ -99,6 +101,12 @@ def _all(conditions) -> Column:
     return out
 
 
+def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """(doc_id, _q): the label of at most `most` ids; of several labels of one id the smallest counts, nulls don't."""
+    y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"))
+    return y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def learn(
     measured: DataFrame, labels: DataFrame, bins: int = 24, most_rules: int = 6, most_conditions: int = 3,
     least_rows: int = 8, least_precision: float = 0.9,
@@ -106,12 +114,11 @@ def learn(
     """A decision list for quality 0, as a list of conjunctions, from measured rows with labels.
 
     Rows without a label, with a null label or doc_id teach nothing; of several labels of one doc_id the
-    smallest counts. Without labelled rows of both kinds the list is empty. Rows that fail the base rules
+    smallest counts; LABELLED ids teach at most. Without labelled rows of both kinds the list is empty. Rows that fail the base rules
     are left out: the list is only asked about the others.
     """
-    y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"))
     names = list(FEATURES)
-    x = measured.where(~base_failed()).join(y, "doc_id")
+    x = measured.where(~base_failed()).join(labelled(labels), "doc_id")
     x = x.select(
         (F.col("_q") == 0).cast("int").alias("_bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("_grow"),
         *{c for f in FEATURES.values() for c in f},
@@ -202,8 +209,15 @@ def op2_quality(spark, sf_dir):
 def stage(spark, docs, sf_dir):
     """Documents that neither the base rules nor the learned list reject, row by row: null, empty and short texts
     go, whatever their id; repeated rows stay or go together; no rows give no rows; other columns are carried along,
-    whatever their names. Rows are measured once and written with their counts; the list is learned from there."""
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    measured = materialise(measure(whole), "measured")
-    rules = learn(measured.drop("_row"), table(spark, sf_dir, "labels"))
-    return measured.where(~base_failed() & verdict(rules).isNull()).select("_row.*")
+    whatever their names."""
+    labels = table(spark, sf_dir, "labels")
+    # At most LABELLED ids: small enough to send to all executors. Only their documents are measured twice.
+    known = docs.select("doc_id", "text").join(F.broadcast(labelled(labels).select("doc_id")), "doc_id", "left_semi")
+    known = materialise(measure(known), "measured")
+    rules = learn(known, labels)
+    discard(known)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    # A filter on these counts would be pushed below them, each written out in full wherever it is used. Spark moves no
+    # filter below a projection that is not deterministic, and rand() >= 0 holds for every row.
+    counted = measure(whole, "_text").withColumn("_hold", F.rand(0))
+    return counted.where(~base_failed() & verdict(rules).isNull() & (F.col("_hold") >= 0)).select("_row.*")
