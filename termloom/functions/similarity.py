@@ -110,13 +110,33 @@ def sparse_cosine(pairs: DataFrame, vectors: DataFrame, a: str, b: str, key: str
     return pairs.join(dots, [a, b], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
+def levenshtein_similarity(a: Column, b: Column) -> Column:
+    """1 less the edits per character of the longer text; 1 for two empty texts."""
+    longer = F.greatest(F.char_length(a), F.char_length(b))
+    return F.when(longer > 0, 1 - F.levenshtein(a, b) / longer).otherwise(F.lit(1.0))
+
+
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    """levenshtein_similarity() of two texts with their tokens in order."""
+    ordered = lambda c: F.array_join(F.array_sort(F.filter(F.split(c, r"\s+"), lambda w: w != "")), " ")
+    return levenshtein_similarity(ordered(a), ordered(b))
+
+
 def nearest(vectors: DataFrame, key: str, vector: str, k: int, block_rows: int = 4096) -> DataFrame:
-    """(key, neighbour, similarity, rank): the k nearest other rows of every row by cosine; ties go to the
-    smaller key; zero vectors have no neighbours. Exact, without a join of all pairs: every row meets every
+    """(key, neighbour, similarity, rank): the k nearest other rows of every row by cosine, keys of any type that
+    has an order; ties go to the smaller key; zero vectors have no neighbours. Exact, without a join of all pairs: every row meets every
     other in matrix products of two blocks, and each block keeps only its k best per row."""
     import numpy as np
     import pyarrow as pa
 
+    if vectors.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        from ..plans.numbering import numbered
+
+        named = numbered(vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(vector).alias("_v")), ["_key"], "_id", 0)
+        found = nearest(named, "_id", "_v", k, block_rows)
+        found = found.join(named.select("_id", F.col("_key").alias(key)), "_id")
+        other = named.select(F.col("_id").alias("neighbour"), F.col("_key").alias("_other"))
+        return found.join(other, "neighbour").select(key, F.col("_other").alias("neighbour"), "similarity", "rank")
     x = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("v"))
     x = x.where(F.size("v") > 0).where(F.element_at("v", 1).isNotNull())
     total = max(1, x.count())

@@ -36,9 +36,14 @@ def normalise(c: Column) -> Column:
     return F.when(plain, normalise_ascii(c)).otherwise(_normalise_any(F.when(~plain, c)))
 
 
+def stripped(c: Column) -> Column:
+    """A text without white space, of any kind, at both ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def split_cell(cell: Column, sep: str = ";") -> Column:
     """Keywords of a delimited cell: trimmed, empty ones gone, repeats kept; null gives no keywords."""
-    parts = F.transform(F.split(F.coalesce(cell, F.lit("")), re.escape(sep)), lambda k: F.regexp_replace(k, r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(F.split(F.coalesce(cell, F.lit("")), re.escape(sep)), stripped)
     return F.filter(parts, lambda k: k != "")
 
 
@@ -52,7 +57,7 @@ def length_ratio(a: Column, b: Column) -> Column:
 
 
 def is_acronym(kw: Column) -> Column:
-    return F.trim(kw).rlike("^[A-Z]{2,6}$")
+    return stripped(kw).rlike("^[A-Z]{2,6}$")
 
 
 def bracketed_acronyms(kw: Column) -> Column:
@@ -61,13 +66,13 @@ def bracketed_acronyms(kw: Column) -> Column:
 
 def initials(kw: Column) -> Column:
     """Initials of a keyword of two words or more, where they make two to six letters; else null."""
-    words = F.filter(F.split(F.trim(kw), r"[\s\-/]+"), lambda w: w != "")
+    words = F.filter(F.split(stripped(kw), r"(?U)[\s\-/]+"), lambda w: w != "")
     letters = F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "")
     return F.when((F.size(words) >= 2) & F.char_length(letters).between(2, 6), letters)
 
 
 def is_malformed(kw: Column) -> Column:
-    return (F.char_length(F.trim(kw)) < 3) | kw.rlike(ARTEFACT) | kw.rlike(PUNCTUATION_RUN)
+    return (F.char_length(stripped(kw)) < 3) | kw.rlike(ARTEFACT) | kw.rlike(PUNCTUATION_RUN)
 
 
 def is_lower(c: Column) -> Column:
@@ -75,13 +80,14 @@ def is_lower(c: Column) -> Column:
 
 
 def label(c: Column) -> Column:
-    """One spelling for each label; anything else stays, in lower case and trimmed."""
-    x = F.lower(F.trim(c))
+    """One spelling for each label; anything else stays, in lower case and stripped."""
+    x = F.lower(stripped(c))
     return F.when(x.isin("non-match", "nonmatch", "non_match"), F.lit(NON_MATCH)).otherwise(x)
 
 
 def strip_fence(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+    """An answer without the code fence around it; white space goes at both ends, line breaks too."""
+    return stripped(F.regexp_replace(F.regexp_replace(stripped(c), r"(?iU)^```(?:json)?\s*", ""), r"(?U)\s*```$", ""))
 
 
 def short_hash(c: Column) -> Column:
@@ -95,8 +101,13 @@ def free_text_decision(c: Column) -> Column:
     return F.when(denies, F.lit(NON_MATCH)).when(x.contains("match"), F.lit(MATCH)).otherwise(F.lit(UNCERTAIN))
 
 
-def prompt(template: str, **columns: Column) -> Column:
-    """A template with {name} places filled from columns; null counts as empty."""
+def prompt(template: str, context: str | None = None, **columns: Column) -> Column:
+    """A template with {name} places filled from columns; null counts as empty. context is a template of its own,
+    added after a blank line in rows that have text for one of its places."""
+    if context is not None:
+        used = [n for n in columns if f"{{{n}}}" in context]
+        some = F.coalesce(*[F.nullif(stripped(columns[n].cast("string")), F.lit("")) for n in used], F.lit(None).cast("string")).isNotNull()
+        return F.concat(prompt(template, **columns), F.when(some, F.concat(F.lit("\n\n"), prompt(context, **columns))).otherwise(""))
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*[F.coalesce(columns[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 

@@ -14,6 +14,7 @@ from ..functions.similarity import jaro_winkler
 
 #: Order in which strata claim a pair, of benchmark building and of the downstream run.
 BENCHMARK_ORDER = ("i", "ii", "iv", "v", "ix", "iii", "vi", "vii", "viii", "x")
+STOPWORDS = ("and", "of", "the", "in", "for", "a", "an")
 DOWNSTREAM_ORDER = ("i", "ii", "iv", "v", "iii", "vi", "vii", "viii", "x")
 
 
@@ -129,6 +130,25 @@ def embedding_bands(neighbours: DataFrame, edges=(0.85, 0.75, 0.60, 0.50), top:
     return first_claim(out, BENCHMARK_ORDER)
 
 
+def keyword_neighbours(vocab: DataFrame, vectors: DataFrame, k: int = 5, vector: str = "embedding") -> DataFrame:
+    """(keyword, neighbour, similarity, rank, short): the nearest keywords of each by their vectors (keyword, vector),
+    and whether the asking one is short and ambiguous; embedding_bands() takes it."""
+    from ..functions.similarity import nearest
+
+    asks = vocab.select("keyword", short_ambiguous(F.col("norm"), F.col("keyword")).alias("short"))
+    own = vectors.join(vocab.select("keyword"), "keyword", "left_semi")
+    return nearest(own, "keyword", vector, k).join(asks, "keyword")
+
+
+def shared_token_pairs(vocab: DataFrame, least_shared: int = 1, stopwords=STOPWORDS) -> DataFrame:
+    """(keyword_a, keyword_b, n_shared): keywords whose normal forms share tokens that are no stop words."""
+    token = F.explode(F.array_distinct(F.filter(F.split("norm", r"[\s\-/]+"), lambda w: (w != "") & ~w.isin(*stopwords))))
+    x = vocab.select("keyword", token.alias("token"))
+    both = x.join(x.select(F.col("keyword").alias("other"), "token"), "token").where("keyword < other")
+    both = both.groupBy(F.col("keyword").alias("keyword_a"), F.col("other").alias("keyword_b")).agg(F.count(F.lit(1)).alias("n_shared"))
+    return both.where(F.col("n_shared") >= least_shared)
+
+
 def short_ambiguous(norm, keyword):
     return F.char_length(norm).between(2, 4) & T.is_lower(norm) & ~T.is_acronym(keyword)
 

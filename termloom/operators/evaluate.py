@@ -80,9 +80,11 @@ def examples(classified: DataFrame, category: str, key: str, n: int = 3) -> Data
 
 
 def kappa(pairs: DataFrame, a: str, b: str, by: list | None = None) -> DataFrame:
-    """Per group: n_pairs, n_agree, pct_agreement, cohen_kappa; kappa is null where chance alone agrees always."""
+    """Per group: n_pairs, n_agree, pct_agreement, cohen_kappa, over the pairs that both sides give one of LABELS;
+    kappa is null where chance alone agrees always. invalid_labels() has what falls out."""
     by = by or []
     x, y = F.col(a), F.col(b)
+    pairs = pairs.where(x.isin(*LABELS) & y.isin(*LABELS))
     sides = [F.count_if(c == v).alias(f"{k}{i}") for k, c in (("a", x), ("b", y)) for i, v in enumerate(LABELS)]
     g = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(x == y).alias("n_agree"), *sides)
     n = F.col("n_pairs").cast("double")
@@ -91,6 +93,22 @@ def kappa(pairs: DataFrame, a: str, b: str, by: list | None = None) -> DataFrame
     return g.select(*by, "n_pairs", "n_agree", (po * 100).alias("pct_agreement"), F.when(pe != 1, F.try_divide(po - pe, 1 - pe)).alias("cohen_kappa"))
 
 
+def invalid_labels(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: pairs, and how many have no valid label on either side or on one."""
+    bad = lambda c: ~F.coalesce(F.col(c).isin(*LABELS), F.lit(False))
+    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(bad(a)).alias("n_invalid_a"), F.count_if(bad(b)).alias("n_invalid_b"), F.count_if(bad(a) | bad(b)).alias("n_left_out"))
+
+
+def assembled(pairs: DataFrame, first: DataFrame, second: DataFrame, adjudicated: DataFrame, key: str = "pair_id") -> DataFrame:
+    """pairs with gold_label and agreement_status: the two annotators' labels, where they have the pair, and the
+    adjudicator's, where there is one, joined on the key (tables of (key, label))."""
+    x = pairs
+    for i, side in enumerate((first, second, adjudicated)):
+        x = x.join(side.select(key, F.col("label").alias(f"_l{i}")).dropDuplicates([key]), key, "left")
+    label, status = gold("_l0", "_l1", "_l2")
+    return x.withColumn("gold_label", label).withColumn("agreement_status", status).drop("_l0", "_l1", "_l2")
+
+
 def kappa_by(pairs: DataFrame, a: str, b: str, stratum: str, strata: DataFrame) -> DataFrame:
     """kappa per stratum, strata without pairs included."""
     return strata.select(stratum).join(kappa(pairs, a, b, [stratum]), stratum, "left").fillna(0, ["n_pairs", "n_agree"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import normalise
 from .components import components
 
 # --- clusters and canonical labels -----------------------------------------------------------------
@@ -30,6 +31,35 @@ def canonical_map(clustered: DataFrame, frequency: DataFrame, first: list | None
     return x.join(name, "cluster").select("keyword", "canonical_form", F.col("canonical_form").alias("cluster_id"), "freq")
 
 
+def with_vocabulary(frequency: DataFrame, controlled: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """frequency with the columns that canonical_map(first=CANONICAL_RULES) goes by: an override (keyword) names its
+    cluster before a term of the controlled vocabulary (keyword), that before frequency, then the shorter keyword."""
+    x = frequency
+    for name, terms in (("not_override", overrides), ("not_controlled", controlled)):
+        if terms is None:
+            x = x.withColumn(name, F.lit(1))
+        else:
+            x = x.join(terms.select("keyword").distinct().withColumn("_in", F.lit(0)), "keyword", "left").withColumn(name, F.coalesce("_in", F.lit(1))).drop("_in")
+    return x.withColumn("less_frequent", -F.col("frequency")).withColumn("length", F.char_length("keyword"))
+
+
+CANONICAL_RULES = ("not_override", "not_controlled", "less_frequent", "length")
+
+
+def with_decision_source(mapping: DataFrame, verified: DataFrame) -> DataFrame:
+    """mapping with normalised_keyword and decision_source: llm_match where a verified match (keyword_a, keyword_b)
+    touches a keyword whose normal form is not that of its label, else deterministic_normalisation."""
+    ends = verified.select(F.explode(F.array("keyword_a", "keyword_b")).alias("keyword")).distinct().withColumn("_v", F.lit(True))
+    x = mapping.join(ends, "keyword", "left").withColumn("normalised_keyword", strip_marks(F.col("keyword")))
+    other = F.col("normalised_keyword") != strip_marks(F.col("canonical_form"))
+    return x.withColumn("decision_source", F.when(F.col("_v") & other, F.lit("llm_match")).otherwise(F.lit("deterministic_normalisation"))).drop("_v")
+
+
+def strip_marks(c):
+    """Normal form with hyphens and slashes as blanks."""
+    return normalise(F.regexp_replace(c, r"[-/]+", " "))
+
+
 def identity_map(frequency: DataFrame) -> DataFrame:
     return frequency.select("keyword", F.col("keyword").alias("canonical_form"), F.col("keyword").alias("cluster_id"), F.col("frequency").alias("freq"))
 

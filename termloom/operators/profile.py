@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import split_cell
+from ..functions.text import split_cell, stripped
 
 #: Lower ends of the frequency bands.
 BANDS = ((1, "1"), (2, "2-4"), (5, "5-9"), (10, "10-49"), (50, "50-99"), (100, ">=100"))
@@ -51,7 +51,7 @@ def summary(frequency: DataFrame) -> DataFrame:
 
 
 def coverage(corpus: DataFrame, cell: str) -> DataFrame:
-    has = F.col(cell).isNotNull() & (F.trim(F.col(cell)) != "")
+    has = F.col(cell).isNotNull() & (stripped(F.col(cell)) != "")
     return corpus.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(has).alias("n_with"), (F.count(F.lit(1)) - F.count_if(has)).alias("n_without"))
 
 
@@ -70,6 +70,13 @@ def inventory(df: DataFrame) -> DataFrame:
     return one.select(rows.alias("r")).select("r.*")
 
 
+def before_after(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row: rows before and after a step, how many it removed, and the different keys on either side."""
+    count = lambda df, n: df.agg(F.count(F.lit(1)).alias(f"n_{n}"), F.countDistinct(key).alias(f"n_keys_{n}"))
+    x = count(before, "before").crossJoin(count(after, "after"))  # one row each
+    return x.withColumn("n_removed", F.col("n_before") - F.col("n_after"))
+
+
 def schema_difference(a: DataFrame, b: DataFrame) -> dict:
     return {"only_first": sorted({*a.columns} - {*b.columns}), "only_second": sorted({*b.columns} - {*a.columns})}
 

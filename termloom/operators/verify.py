@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import LABELS, MATCH, NON_MATCH, UNCERTAIN, short_hash, strip_fence
+from ..functions.text import LABELS, MATCH, NON_MATCH, UNCERTAIN, short_hash, strip_fence, stripped
+from .evaluate import best_threshold, binary_metrics
 
 REQUIRED = ("decision", "confidence", "justification")
 LEXICAL = ("i", "ii", "iv", "v", "ix")
@@ -29,14 +30,17 @@ def guarded(log: DataFrame, response: str = "response", guard: Guard = Guard(),
     """log with guard_decision, guard_confidence, guard_justification, guard_applied and guard_reason.
 
     G1 no JSON; G2 fields missing (arrays and scalars lack all); G3 decision outside the labels; G4 a firm
-    decision below the threshold. All give uncertain. Confidence is read as a number, within 0 and 1, else 0.
+    decision below the threshold. All give uncertain. Confidence is read as a number (true is 1), within 0
+    and 1, else 0. Reasons have the spelling of decision logs, so that logs compare by reason.
     """
     raw = strip_fence(F.col(response))
     x = log.withColumn("_v", F.try_parse_json(raw)).withColumn("_keys", F.coalesce(F.json_object_keys(F.when(F.col("_v").isNotNull(), raw)), F.array().cast("array<string>")))
     field = lambda name: F.try_variant_get("_v", f"$.{name}", "string")
     missing = F.array_sort(F.array_except(F.array(*map(F.lit, REQUIRED)), F.col("_keys")))
-    decision = F.lower(F.trim(F.coalesce(field("decision"), F.lit(""))))
-    number = F.coalesce(field("confidence").try_cast("double"), F.lit(0.0))
+    decision = F.lower(stripped(F.coalesce(field("decision"), F.lit(""))))
+    is_true = F.schema_of_variant(F.try_variant_get("_v", "$.confidence", "variant")) == "BOOLEAN"
+    number = F.when(is_true, (field("confidence") == "true").cast("double")).otherwise(F.coalesce(field("confidence").try_cast("double"), F.lit(0.0)))
+    number = F.coalesce(number, F.lit(0.0))
     number = F.when(F.isnan(number), 0.0).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
     x = x.withColumns({"_missing": missing, "_decision": decision, "_confidence": number})
     least = F.lit(guard.threshold)
@@ -47,9 +51,9 @@ def guarded(log: DataFrame, response: str = "response", guard: Guard = Guard(),
     applied = F.when(g1, "G1").when(g2, "G2").when(g3, "G3").when(g4, "G4")
     reason = (
         F.when(g1, F.lit("malformed_parse_failure"))
-        .when(g2, F.concat(F.lit("missing_fields: "), F.array_join("_missing", ", ")))
-        .when(g3, F.concat(F.lit("invalid_decision: "), F.col("_decision")))
-        .when(g4, F.format_string("low_confidence: %.3f < %.3f", F.col("_confidence"), least))
+        .when(g2, F.concat(F.lit("malformed_missing_field:"), F.array_join("_missing", ",")))
+        .when(g3, F.concat(F.lit("invalid_decision:"), F.col("_decision")))
+        .when(g4, F.format_string("confidence_%.3f_below_threshold_%.3f", F.col("_confidence"), least))
     )
     final = F.when(applied.isNotNull(), F.lit(UNCERTAIN)).otherwise(F.col("_decision"))
     if not guard.allow_uncertain:
@@ -115,6 +119,25 @@ def within_budget(calls: DataFrame, order: list, price: str, cap: float) -> Data
     return x.withColumn("total_before", (F.col("_b") + inside).cast("double")).where(F.col("total_before") < cap).drop("_n", "_g", "_b")
 
 
+def guard_sweep(pairs: DataFrame, log: DataFrame, thresholds: DataFrame, key: list = ("pair_id",), order: str = "seq", response: str = "response", gold: str = "gold_label") -> DataFrame:
+    """Metrics of a logged run at each threshold of the guard: the last answer to each pair is judged anew, pairs
+    without one are uncertain. Answers are parsed once; the confidence rule alone depends on the threshold."""
+    key = list(key)
+    last = log.groupBy(*key).agg(F.max_by(response, order).alias(response))
+    x = pairs.select(*key, gold).join(guarded(last, response, Guard(threshold=0.0), "_g_"), key, "left")
+    x = x.crossJoin(F.broadcast(thresholds))  # a grid of fixed size
+    firm = F.col("_g_decision").isin(MATCH, NON_MATCH) & (F.col("_g_confidence") >= F.col("threshold"))
+    return binary_metrics(x.withColumn("predicted", F.when(firm, F.col("_g_decision")).otherwise(UNCERTAIN)), ["threshold"], gold)
+
+
+def best_guard(swept: DataFrame, least_coverage: float = 0.7, default: float = 0.5) -> DataFrame:
+    """One row (threshold, f1, coverage): the lowest threshold of the highest F1 among those that cover enough, or
+    the default, with nulls, where none does."""
+    best = best_threshold(swept, least_coverage).select("threshold", "f1", "coverage")
+    one = swept.sparkSession.createDataFrame([(0,)], "_o int").join(best.withColumn("_o", F.lit(0)), "_o", "left")
+    return one.select(F.coalesce("threshold", F.lit(default)).alias("threshold"), "f1", "coverage")
+
+
 def overlay(logs: list, key: list, order: str = "seq") -> DataFrame:
     """One decision per key from logs in rising priority: the later log wins, then the later entry."""
     parts = [x.withColumn("_p", F.lit(i)) for i, x in enumerate(logs)]
@@ -125,9 +148,10 @@ def overlay(logs: list, key: list, order: str = "seq") -> DataFrame:
     return out.withColumn("_at", at).where("_at = 1").drop("_at", "_p")
 
 
-def with_fallback(pairs: DataFrame, log: DataFrame, key: list, score: str, threshold: float = 0.92) -> DataFrame:
-    """decision of the log, or by score where it has none; from_log tells which."""
-    last = log.select(*key, F.col("decision").alias("_d"))
+def with_fallback(pairs: DataFrame, log: DataFrame, key: list, score: str, threshold: float = 0.92, order: str = "seq") -> DataFrame:
+    """The log's last decision by `order`, or one by score where it has none; from_log tells which. One row per pair,
+    however often the log has it."""
+    last = log.groupBy(*key).agg(F.max_by("decision", order).alias("_d"))
     yes = F.when(F.col(score) >= threshold, F.lit(MATCH)).otherwise(F.lit(NON_MATCH))
     x = pairs.join(last, key, "left")
     return x.withColumn("from_log", F.col("_d").isNotNull()).withColumn("decision", F.coalesce("_d", yes)).drop("_d")

@@ -14,6 +14,7 @@ from ..operators import evaluate as E
 from ..operators import network as N
 from ..operators import profile as P
 from ..operators import verify as V
+from .scratch import materialise
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -54,12 +55,11 @@ TOKENS = r"tokens as (select doc_id as article_id, unnest(string_split_regex(tex
 
 
 def doc_vocabulary(spark, d) -> DataFrame:
-    """NFKC leaves the driver's texts as they are, so the normal form is made in the JVM."""
-    f = P.document_frequency(tokens(spark, d))
-    return f.select("keyword", T.normalise_ascii(F.col("keyword")).alias("norm"), "frequency")
+    """Keyword, normal form and document frequency of all tokens, made once and written."""
+    return materialise(C.vocabulary(P.document_frequency(tokens(spark, d))), "vocabulary")
 
 
-VOCAB = TOKENS + ", voc as (select keyword, lower(keyword) as norm, count(distinct article_id) as frequency from tok group by keyword)"
+VOCAB = TOKENS + ", voc as materialized (select keyword, lower(keyword) as norm, count(distinct article_id) as frequency from tok group by keyword)"
 
 
 def part_vocabulary(spark, d) -> DataFrame:
@@ -149,9 +149,11 @@ def split_cells(spark, d):
 # --- candidates ---------------------------------------------------------------------------------------
 
 _PAIR = "least(a.keyword, b.keyword) as keyword_a, greatest(a.keyword, b.keyword) as keyword_b"
-_CASE = f"select {_PAIR}, 'i' as stratum, 'capitalisation_whitespace' as retrieval_method, 1.0::double as similarity_score from voc a join voc b on a.norm = b.norm and a.keyword < b.keyword"
-_PN = "pn as (select keyword, regexp_replace(norm, '[-/(). ]', '', 'g') as k from voc)"
-_PUNCT = f"select {_PAIR}, 'iv' as stratum, 'punctuation_hyphenation' as retrieval_method, 0.95::double as similarity_score from pn a join pn b on a.k = b.k and a.keyword < b.keyword where length(a.k) >= 3"
+_PN = """ca as (select list(keyword) as ks from voc group by norm having count(*) > 1), cb as (select ks, unnest(ks) as a from ca), cc as (select a, unnest(ks) as b from cb),
+pn as (select keyword, regexp_replace(norm, '[-/(). ]', '', 'g') as k from voc), pa as (select list(keyword) as ks from pn where length(k) >= 3 group by k having count(*) > 1),
+pb as (select ks, unnest(ks) as a from pa), pc as (select a, unnest(ks) as b from pb)"""
+_CASE = "select a as keyword_a, b as keyword_b, 'i' as stratum, 'capitalisation_whitespace' as retrieval_method, 1.0::double as similarity_score from cc where a < b"
+_PUNCT = "select a as keyword_a, b as keyword_b, 'iv' as stratum, 'punctuation_hyphenation' as retrieval_method, 0.95::double as similarity_score from pc where a < b"
 _REP = "rep as (select norm, arg_min(keyword, (-frequency, keyword)) as keyword from voc group by norm)"
 _PLURAL = " union all ".join(
     f"select {_PAIR}, 'v' as stratum, '{m}' as retrieval_method, 0.9::double as similarity_score from rep a join rep b on b.norm = {k} where a.keyword <> b.keyword{w}"
@@ -162,7 +164,7 @@ _PLURAL = " union all ".join(
 )
 
 
-@query(f"with {VOCAB} {_CASE}")
+@query(f"with {VOCAB}, {_PN} {_CASE}")
 def cand_case(spark, d):
     return C.case_variants(doc_vocabulary(spark, d))
 
@@ -238,7 +240,8 @@ def cand_pair_ids(spark, d):
     return C.with_ids(_claimed(spark, d)).select("keyword_a", "keyword_b", "stratum", "pair_id")
 
 
-@query(None)
+@query(rf"""with {VOCAB} select keyword, length(keyword) < 3 or regexp_matches(keyword, 'â€|Ã[^A-Za-z]|Ã©|â€™|â€œ|Â©|â„¢|\\u[0-9a-f]{{4}}|&#[0-9]+;', 'i')
+or regexp_matches(keyword, '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\s]{{3,}}') as malformed from voc""")
 def malformed_flags(spark, d):
     return doc_vocabulary(spark, d).select("keyword", T.is_malformed(F.col("keyword")).alias("malformed"))
 
@@ -294,6 +297,32 @@ def knn_bands(spark, d):
     return C.embedding_bands(x, (0.6, 0.45, 0.4, 0.3)).select("keyword_a", "keyword_b", "stratum", "similarity_score")
 
 
+@query(f"""with {_KNN}, k as (select printf('%x', vec_id + 16) as a, printf('%x', neighbour + 16) as b, s, rank from r where rank <= 5),
+q as (select *, length(a) between 2 and 4 and a <> upper(a) as short from k where s >= 0.3 and s < 0.6),
+c as (select least(a, b) as keyword_a, greatest(a, b) as keyword_b, case when short then 'viii' when s >= 0.45 then 'vi' when s >= 0.4 then 'vii' else 'x' end as stratum, round(s, 4) as similarity_score from q where rank <= case when short then 3 else 5 end),
+o as (select *, row_number() over (partition by keyword_a, keyword_b order by list_position(['vi', 'vii', 'viii', 'x'], stratum)) as pos from c)
+select keyword_a, keyword_b, stratum, similarity_score from o where pos = 1""")
+def knn_short_ambiguous(spark, d):
+    """Neighbours of keyword strings, short ambiguous ones apart."""
+    e = table(spark, d, "embeddings").select(F.format_string("%x", F.col("vec_id") + 16).alias("keyword"), "embedding")
+    vocab = e.select("keyword", F.col("keyword").alias("norm"))
+    return C.embedding_bands(C.keyword_neighbours(vocab, e), (0.6, 0.45, 0.4, 0.3)).select("keyword_a", "keyword_b", "stratum", "similarity_score")
+
+
+@query(r"""with k as (select distinct p_name as keyword, lower(p_name) as norm from part), t as (select keyword, unnest(list_distinct(list_filter(string_split_regex(norm, '[\s\-/]+'),
+lambda w: w <> '' and w not in ('and', 'of', 'the', 'in', 'for', 'a', 'an')))) as token from k)
+select a.keyword as keyword_a, b.keyword as keyword_b, count(*) as n_shared from t a join t b on a.token = b.token and a.keyword < b.keyword group by 1, 2 having count(*) >= 1""")
+def shared_tokens(spark, d):
+    x = table(spark, d, "part").select(F.col("p_name").alias("keyword")).distinct()
+    return C.shared_token_pairs(x.select("keyword", F.lower("keyword").alias("norm")))
+
+
+@query("select (select count(*) from lineitem) as n_before, (select count(distinct l_orderkey) from lineitem) as n_keys_before, (select count(distinct l_orderkey) from lineitem) as n_after, (select count(distinct l_orderkey) from lineitem) as n_keys_after, (select count(*) - count(distinct l_orderkey) from lineitem) as n_removed")
+def dedup_before_after(spark, d):
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return P.before_after(x, P.first_rows(x, "l_orderkey", ["l_linenumber", "l_partkey"]), "l_orderkey")
+
+
 # --- evaluation and annotation -------------------------------------------------------------------------
 
 _LABEL = "case when {0} = 1 then 'match' else 'non_match' end"
@@ -473,11 +502,69 @@ def guard_histogram(spark, d):
     return V.guarded(answers(spark, d)).groupBy("guard_applied", "guard_decision").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SWEEP = f"""{LOG_SQL}, la as (select *, row_number() over (partition by pair_id order by seq desc) as pos from lg),
+pg as (select c_custkey as pair_id, case when c_acctbal > 0 then 'match' else 'non_match' end as gold_label from customer),
+th as (select unnest(generate_series(50, 95, 5)) / 100.0::double as threshold),
+sw as (select threshold, gold_label, case when la.pair_id is null or k in (2, 3, 4, 5) then 'uncertain' when dec <> 'uncertain' and greatest(least(c0, 1), 0) >= threshold then dec else 'uncertain' end as predicted
+from pg left join la on la.pair_id = pg.pair_id and la.pos = 1, th),
+{_metrics_sql("sw", "threshold")}"""
+
+
+def _swept(spark, d):
+    gold = F.when(F.col("c_acctbal") > 0, "match").otherwise("non_match")
+    pairs = table(spark, d, "customer").select(F.col("c_custkey").alias("pair_id"), gold.alias("gold_label"))
+    return V.guard_sweep(pairs, answers(spark, d), E.grid(spark, 50, 95, 5))
+
+
+@query(f"with {_SWEEP} select * from met")
+def guard_replay_sweep(spark, d):
+    return _swept(spark, d)
+
+
+@query(f"with {_SWEEP} select coalesce(max(threshold), 0.5::double) as threshold, max(f1) as f1, max(coverage) as coverage from (select threshold, f1, coverage from met where coverage >= 0.1 order by f1 desc, threshold limit 1)")
+def guard_best_threshold(spark, d):
+    return V.best_guard(_swept(spark, d), 0.1)
+
+
+@query(f"with {LOG_SQL} select seq, case when k = 2 then 'malformed_parse_failure' when k = 3 then 'malformed_missing_field:confidence,justification' when k = 5 then 'malformed_missing_field:confidence,decision,justification' when k = 4 then 'invalid_decision:maybe' when guard_applied = 'G4' then printf('confidence_%.3f_below_threshold_%.3f', guard_confidence, 0.5::double) end as guard_reason from gd")
+def guard_reasons(spark, d):
+    return V.guarded(answers(spark, d)).select("seq", "guard_reason")
+
+
 @query(f"with {LOG_SQL} select seq, case when k in (2, 3, 4, 5) then 'uncertain' when dec = 'uncertain' then 'non_match' else dec end as guard_decision from lg")
 def guard_forced_binary(spark, d):
     return V.guarded(answers(spark, d), guard=V.Guard(allow_uncertain=False)).select("seq", "guard_decision")
 
 
+_SWEEP = f"""{LOG_SQL}, la as (select *, row_number() over (partition by pair_id order by seq desc) as pos from lg),
+pg as (select c_custkey as pair_id, case when c_acctbal > 0 then 'match' else 'non_match' end as gold_label from customer),
+th as (select unnest(generate_series(50, 95, 5)) / 100.0::double as threshold),
+sw as (select threshold, gold_label, case when la.pair_id is null or k in (2, 3, 4, 5) then 'uncertain' when dec <> 'uncertain' and greatest(least(c0, 1), 0) >= threshold then dec else 'uncertain' end as predicted
+from pg left join la on la.pair_id = pg.pair_id and la.pos = 1, th),
+{_metrics_sql("sw", "threshold")}"""
+
+
+def _swept(spark, d):
+    gold = F.when(F.col("c_acctbal") > 0, "match").otherwise("non_match")
+    pairs = table(spark, d, "customer").select(F.col("c_custkey").alias("pair_id"), gold.alias("gold_label"))
+    return V.guard_sweep(pairs, answers(spark, d), E.grid(spark, 50, 95, 5))
+
+
+@query(f"with {_SWEEP} select * from met")
+def guard_replay_sweep(spark, d):
+    return _swept(spark, d)
+
+
+@query(f"with {_SWEEP} select coalesce(max(threshold), 0.5::double) as threshold, max(f1) as f1, max(coverage) as coverage from (select threshold, f1, coverage from met where coverage >= 0.1 order by f1 desc, threshold limit 1)")
+def guard_best_threshold(spark, d):
+    return V.best_guard(_swept(spark, d), 0.1)
+
+
+@query(f"with {LOG_SQL} select seq, case when k = 2 then 'malformed_parse_failure' when k = 3 then 'malformed_missing_field:confidence,justification' when k = 5 then 'malformed_missing_field:confidence,decision,justification' when k = 4 then 'invalid_decision:maybe' when guard_applied = 'G4' then printf('confidence_%.3f_below_threshold_%.3f', guard_confidence, 0.5::double) end as guard_reason from gd")
+def guard_reasons(spark, d):
+    return V.guarded(answers(spark, d)).select("seq", "guard_reason")
+
+
 @query(f"with {LOG_SQL} select seq, case when k in (2, 3, 4, 5) then 'uncertain' else dec end as raw_decision from lg")
 def raw_decisions(spark, d):
     return V.raw_decision(answers(spark, d)).select("seq", "raw_decision")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,8 +15,9 @@ from ..operators.network import both_ways, induced, matrix
 ENCODINGS = ("utf-8", "iso-8859-1")
 #: Names of a corpus column, first match wins, then without regard to case.
 ALIASES = {
-    "article_id": ("EID", "article_id"), "title": ("Title",), "year": ("Year",), "doc_type": ("Document Type",),
-    "author_keywords": ("Author Keywords",), "index_keywords": ("Index Keywords",), "abstract": ("Abstract",), "doi": ("DOI",),
+    "article_id": ("EID", "article_id"), "title": ("Title", "TI"), "year": ("Year", "PY"), "doc_type": ("Document Type", "DT"),
+    "author_keywords": ("Author Keywords", "DE"), "index_keywords": ("Index Keywords", "ID"), "abstract": ("Abstract", "AB"), "doi": ("DOI",),
+    "source_title": ("Source title", "SO"), "language": ("Language of Original Document", "Language", "LA"),
 }
 LOG = S.StructType([
     S.StructField("pair_id", S.StringType()), S.StructField("keyword_a", S.StringType()), S.StructField("keyword_b", S.StringType()),
@@ -97,13 +100,58 @@ def read_log(spark: SparkSession, path: str, schema: S.StructType = LOG) -> Data
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     """(method, threshold, dev_f1, dev_coverage) of a registry that nests them by method."""
     kind = "map<string, struct<threshold:double, dev_f1:double, dev_coverage:double>>"
-    raw = spark.read.option("wholetext", True).text(require(spark, path))
+    raw = spark.read.text(require(spark, path), wholetext=True)
     return raw.select(F.explode(F.from_json("value", kind)).alias("method", "t")).select("method", "t.*")
 
 
+#: What an annotated sheet may lack of its pairs.
+PAIR_COLUMNS = ("keyword_a", "keyword_b", "freq_a", "freq_b", "stratum")
+
+
 def with_metadata(rows: DataFrame, metadata: list, key: str = "pair_id", column: str = "stratum") -> DataFrame:
-    """rows with a column from the first metadata table, where they lack it."""
-    return rows if column in rows.columns or not metadata else rows.join(metadata[0].select(key, column), key)
+    """rows with the columns of their pairs that they lack, where they lack `column`: from the first metadata table
+    (a path that may be missing, or a DataFrame) that is there. Rows that it doesn't have drop out."""
+    if column in rows.columns:
+        return rows
+    for m in metadata:
+        if isinstance(m, str):
+            try:
+                m = read_csv(rows.sparkSession, m)
+            except MissingInput:
+                continue
+        lacking = [c for c in PAIR_COLUMNS if c in m.columns and c not in rows.columns]
+        return rows.join(m.select(key, *lacking).dropDuplicates([key]), key)
+    return rows
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A configuration file as nested dicts and lists: JSON, or YAML where a YAML reader is installed."""
+    text = spark.read.text(require(spark, path), wholetext=True).first()
+    text = text["value"] if text else ""
+    if path.endswith(".json"):
+        return json.loads(text or "{}")
+    try:
+        import yaml
+    except ImportError as e:
+        raise MissingInput(f"no YAML reader for {path}; JSON needs none") from e
+    return yaml.safe_load(text) or {}
+
+
+def write_thresholds(new: DataFrame, path: str, key: str = "method") -> DataFrame:
+    """Puts new's rows (method, threshold, ...) into the registry at path, in place of those of equal key, in a file
+    that replaces the old one whole. A registry has a row per method, so the driver writes it."""
+    spark = new.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = upsert(read_thresholds(spark, path), new, key) if fs.exists(at) else new
+    told = {r[key]: {c: v for c, v in r.asDict().items() if c != key and v is not None} for r in rows.orderBy(key).collect()}
+    part = spark._jvm.org.apache.hadoop.fs.Path(path + ".new")
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps(told, indent=2).encode()))
+    out.close()
+    fs.delete(at, False)
+    fs.rename(part, at)
+    return spark.createDataFrame([(k, v.get("threshold")) for k, v in told.items()], f"{key} string, threshold double")
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:

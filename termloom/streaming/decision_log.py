@@ -37,7 +37,7 @@ def keep_latest(stream: DataFrame, table: str, checkpoint: str):
 
 
 def latest(spark: SparkSession, table: str) -> DataFrame:
-    """One row per pair over all batches, the last batch winning."""
+    """One row per pair over all batches: that of the latest timestamp, of equal ones that of the last batch."""
     x = spark.read.parquet(table)
     at = F.row_number().over(W.partitionBy("pair_id").orderBy(F.desc("timestamp"), F.desc("batch")))
     return x.withColumn("_at", at).where("_at = 1").drop("_at")
