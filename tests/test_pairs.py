@@ -43,3 +43,18 @@ def test_spelling_variants_in_tiles(spark, monkeypatch):
         if n < m and n[:3] == m[:3] and min(len(n), len(m)) >= max(4, 0.6 * max(len(n), len(m))) and 0.85 <= (s := jaro_winkler_pair(n, m)) < 0.95
     ]
     assert sorted((r.keyword_a, r.keyword_b, r.similarity_score) for r in got) == sorted(want) and len(want) > 100
+
+
+def test_nearest_of_malformed_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "TILE", 5)
+    rng = random.Random(4)
+    good = words(rng, "abcdé", 9, 50, "abc") + words(rng, "xy", 6, 9, "thx") + words(rng, "ab", 75, 9, "abc")
+    ill = [f"{w}!!!" for w in words(rng, "abcdé", 8, 30, "ab") + words(rng, "xy", 70, 6, "th") + words(rng, "qr", 5, 4, "zz")]
+    vocab = [(k, n, 2) for n in set(good) for k in {n, n.title()} if len(k) > 2] + [(w, w, 1) for w in set(ill)]
+    got = candidates.malformed_nearest(spark.createDataFrame(vocab, "keyword string, norm string, frequency long")).collect()
+    want = []
+    for w in set(ill):
+        pool = [v for v in vocab if v[2] == 2 and v[1][:2] == w[:2]] or [v for v in vocab if v[2] == 2]
+        s, k = min((-jaro_winkler_pair(w, n), k) for k, n, _ in pool)
+        want += [(min(w, k), max(w, k), jaro.rounded(-s, 4))] if -s > 0.7 else []
+    assert sorted((r.keyword_a, r.keyword_b, r.similarity_score) for r in got) == sorted(want) and len(want) > 20
